@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import langid, quality
 
-MODULES = (langid,)
+MODULES = (langid, quality)
 
 
 def queries() -> dict:
