@@ -19,6 +19,7 @@ BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 #: Scale of the shares; with it, weights of order one separate the classes.
 SCALE = 20.0
+STEPS, RATE = 60, 0.1
 _PAIR = np.uint64(0xD1342543DE82EF95)
 
 
@@ -83,27 +84,29 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.model.slope * raw + self.model.bias, -30, 30))), at
 
 
-def sparse_rows(df: DataFrame, target: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Per row with words: its feature shares as (buckets, values), and the target."""
+def shares_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's feature buckets and each one's share of its features."""
+    names, inverse = np.unique(np.array(words, dtype=object), return_inverse=True)
+    times = np.bincount(inverse)
+    bucket, owner, hashes = word_features([w.decode("utf-8", "surrogatepass") for w in names])
+    total = np.bincount(bucket, times[owner], BUCKETS)
+    if len(words) > 1:
+        total += np.bincount(pair_buckets(hashes[inverse]), minlength=BUCKETS)
+    at = np.nonzero(total)[0]
+    return at.astype(np.int32), (total[at] / total.sum()).astype(np.float32)
+
+
+def sparse_rows(df: DataFrame, target: str) -> DataFrame:
+    """Per row with words: its feature shares as (buckets, shares), the target and the fold."""
 
     def make():
         def run(chunk):
             out = {"target": [], "fold": [], "buckets": [], "shares": []}
             for text, y, fold in zip(chunk["text"], chunk[target], chunk["fold"], strict=True):
-                words = encode(text).split()
-                if not words:
-                    continue
-                names, inverse = np.unique(np.array(words, dtype=object), return_inverse=True)
-                times = np.bincount(inverse)
-                bucket, owner, hashes = word_features([w.decode("utf-8", "surrogatepass") for w in names])
-                total = np.bincount(bucket, times[owner], BUCKETS)
-                if len(words) > 1:
-                    total += np.bincount(pair_buckets(hashes[inverse]), minlength=BUCKETS)
-                at = np.nonzero(total)[0]
-                out["target"].append(float(y))
-                out["fold"].append(fold)
-                out["buckets"].append(at.astype(np.int32))
-                out["shares"].append((total[at] / total.sum()).astype(np.float32))
+                if words := encode(text).split():
+                    at, share = shares_of(words)
+                    for k, v in (("target", float(y)), ("fold", fold), ("buckets", at), ("shares", share)):
+                        out[k].append(v)
             return out
 
         return run
@@ -111,25 +114,27 @@ def sparse_rows(df: DataFrame, target: str, extra: tuple[str, ...] = ()) -> Data
     return map_chunks(df, ["text", target, "fold"], "target double, fold int, buckets array<int>, shares array<float>", make)
 
 
-def train(sample: DataFrame, target: str, steps: int = 120, l2: float = 1e-4) -> LinearModel:
+def train(sample: DataFrame, target: str, steps: int = STEPS) -> LinearModel:
     """Fit logistic regression on a bounded sample (columns text, the target in 0..1, fold).
 
-    Nine tenths of the sample fit the weights (full-batch steps with per-weight rates); the rest
-    (fold 0) calibrates slope and bias, so the probability is one for the sampled population. An
-    empty or one-sided sample gives the constant share of the target.
+    Nine tenths of the sample fit the weights; the rest (fold 0) calibrates slope and bias, so the
+    probability is one for the sampled population. An empty or one-sided sample gives the constant
+    share of the target.
     """
-    rows = sparse_rows(sample, target).toArrow()
-    y = rows["target"].to_numpy() if len(rows) else np.zeros(0)
-    if len(y) < 2 or y.max() - y.min() < 1e-9:
-        p = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+    rows = sparse_rows(sample, target).toArrow().combine_chunks()
+    if not len(rows):
+        return LinearModel(np.zeros(BUCKETS), 1.0, 0.0)
+    lists, shares = (rows[c].chunk(0) for c in ("buckets", "shares"))
+    return fit_rows(rows["target"].to_numpy(), rows["fold"].to_numpy(), lists.offsets.to_numpy()[:-1].astype(np.int64), lists.values.to_numpy(), shares.values.to_numpy(), steps)
+
+
+def fit_rows(y: np.ndarray, fold: np.ndarray, starts: np.ndarray, bucket: np.ndarray, share: np.ndarray, steps: int) -> LinearModel:
+    """Full-batch logistic regression over sparse rows with per-weight step sizes, then calibration."""
+    if y.max() - y.min() < 1e-9:
+        p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         return LinearModel(np.zeros(BUCKETS), 1.0, float(np.log(p / (1 - p))))
-    lists, shares = rows["buckets"].combine_chunks(), rows["shares"].combine_chunks()
-    if hasattr(lists, "chunks"):
-        lists, shares = lists.chunk(0), shares.chunk(0)
-    starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
-    bucket, value = lists.values.to_numpy(), shares.values.to_numpy() * np.float32(SCALE)
-    length = np.diff(np.append(starts, len(bucket)))
-    fit = rows["fold"].to_numpy() != 0
+    value, length = share * np.float32(SCALE), np.diff(np.append(starts, len(bucket)))
+    fit = fold != 0
     if not fit.any() or y[fit].max() - y[fit].min() < 1e-9:
         fit[:] = True
     w, b, g2, gb2 = np.zeros(BUCKETS), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), np.full(BUCKETS, 1e-12), 1e-12
@@ -139,11 +144,11 @@ def train(sample: DataFrame, target: str, steps: int = 120, l2: float = 1e-4) ->
 
     for _ in range(steps):
         r = (1 / (1 + np.exp(-np.clip(raw() + b, -30, 30))) - y) * fit / fit.sum()
-        g = np.bincount(bucket, np.repeat(r, length) * value, BUCKETS) + l2 / BUCKETS * w
+        g = np.bincount(bucket, np.repeat(r, length) * value, BUCKETS)
         g2, gb2 = g2 + g * g, gb2 + r.sum() ** 2
-        w -= 1.0 * g / np.sqrt(g2)
-        b -= 0.1 * r.sum() / np.sqrt(gb2)
-    left = ~fit if (~fit).sum() >= 50 and y[~fit].max() - y[~fit].min() > 1e-9 else np.ones(len(y), bool)
+        w -= RATE * g / np.sqrt(g2)
+        b -= RATE * r.sum() / np.sqrt(gb2)
+    left = ~fit if (~fit).sum() >= 50 and y[~fit].max() - y[~fit].min() > 0.5 else np.ones(len(y), bool)
     x, t, line = raw()[left], y[left], np.array([1.0, b])
     ones = t.sum()
     t = (t * (ones + 1) / (ones + 2)) + (1 - t) / (len(t) - ones + 2)  # smoothed targets: separable classes stay finite

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, quality
+from . import langid, quality, weaklabel
 
-MODULES = (langid, quality)
+MODULES = (langid, quality, weaklabel)
 
 
 def queries() -> dict:
