@@ -44,15 +44,15 @@ def votes(text: str, words: list[bytes], ids: np.ndarray) -> list[int]:
     stops = text.count(".") + text.count("?") + text.count("!")
     return [
         _range_vote(symbols(text) / n, (0.0, 0.05), 0.3),
-        _range_vote(upper / max(1, letters), (0.0, 0.2), 0.6),
+        _range_vote(upper / max(1, letters), (0.0, 0.2), 0.6) if n > 2 else -1,
         _range_vote(letters / n_seen, (0.88, 1.0), None) if letters / n_seen < 0.8 or letters / n_seen >= 0.88 else -1,
         _range_vote(text.count("!") / n, (0.0, 0.1), 0.5),
         0 if text.count("|") / n > 0.2 else -1 if "|" in text else 1,
         _range_vote(repeated_words(ids) / n, (0.0, 0.1), 0.5),
-        0 if lines >= 4 and duplicate_lines(encode(text)) > 0.3 * lines else -1,
+        0 if lines >= 8 and duplicate_lines(encode(text)) > 0.3 * lines else -1,
         _range_vote((len(text) - n) / n, (2.0, 14.0), None),
-        _range_vote(1 - len(set(zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True))) / max(1, n - 1), (0.0, 0.25), 0.4),
-        1 if n >= 20 and 0.02 <= stops / n <= 0.4 else -1 if stops / n <= 0.7 else 0,
+        -1 if n < 20 else _range_vote(1 - len(set(zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True))) / max(1, n - 1), (0.0, 0.25), 0.4),
+        -1 if n < 20 else 1 if 0.02 <= stops / n <= 0.4 else -1 if stops / n <= 0.7 else 0,
     ]
 
 
