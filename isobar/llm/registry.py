@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, quality, weaklabel
+from . import langid, quality, toxicity, weaklabel
 
-MODULES = (langid, quality, weaklabel)
+MODULES = (langid, toxicity, quality, weaklabel)
 
 
 def queries() -> dict:
