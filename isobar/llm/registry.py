@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, quality, toxicity, weaklabel
+from . import langid, lm, quality, toxicity, weaklabel
 
-MODULES = (langid, toxicity, quality, weaklabel)
+MODULES = (langid, toxicity, lm, quality, weaklabel)
 
 
 def queries() -> dict:
