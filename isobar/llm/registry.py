@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, lm, quality, toxicity, weaklabel
+from . import langid, lm, mergedropout, quality, toxicity, weaklabel
 
-MODULES = (langid, toxicity, lm, quality, weaklabel)
+MODULES = (langid, toxicity, lm, quality, mergedropout, weaklabel)
 
 
 def queries() -> dict:
