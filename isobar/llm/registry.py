@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, lm, mergedropout, neardup, quality, toxicity, weaklabel
+from . import langid, lm, mergedropout, mixing, neardup, quality, toxicity, weaklabel
 
-MODULES = (langid, toxicity, neardup, lm, quality, mergedropout, weaklabel)
+MODULES = (langid, toxicity, neardup, lm, quality, mergedropout, mixing, weaklabel)
 
 
 def queries() -> dict:
