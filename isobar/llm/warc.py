@@ -257,9 +257,9 @@ WITH p AS (
   SELECT page_id, n, last, CAST(unhex(p.x) AS BIT)::VARCHAR AS bits FROM p JOIN g USING (x)
 )
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-  list_reduce(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+  list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
     + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
-    + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), (a, c) -> a || c) AS payload_digest,
+    + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), lambda a, c: a || c) AS payload_digest,
   CASE WHEN page_id < last OR (page_id IS NULL AND last IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < last OR (page_id IS NULL AND last IS NOT NULL) THEN last END AS refers_to,
   TRUE AS intact
