@@ -2,8 +2,9 @@
 
 A bounded sample is joined into a neighbour graph, and the graph is cut into balanced partitions so that
 neighbours stay together. A small classifier learns the partition of a vector; it deals every vector of
-the table into its most probable partition and routes each query to the several most probable ones, where
-all vectors are compared and the best reranked by exact distance.
+the table into its most probable partition and routes each query to the several most probable ones (up to
+a share of probability that is set for a target recall on held-out vectors), where all vectors are
+compared and the best reranked by exact distance.
 
 Partitions are searched in blocks of bounded size (a block of vectors against a block of the queries
 routed to the partition), so neither a crowded partition nor many queries make a large task.
@@ -27,7 +28,9 @@ from .common import table
 
 #: The index is fitted on at most this many vectors, those whose vec_id hashes lowest.
 SAMPLE = 4_096
-PARTITIONS, GRAPH_NEIGHBOURS, ROUTES, HIDDEN = 16, 10, 6, 64
+PARTITIONS, GRAPH_NEIGHBOURS, HIDDEN = 16, 20, 64
+#: Recall that the routed share of probability is set for, on a fifth of the sample kept from the fit.
+TARGET_RECALL = 0.95
 BLOCK_ROWS = 4_096
 K = 10
 
@@ -42,6 +45,15 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    mass: float = 1.0  # a query goes to its most probable partitions up to this much probability
+
+    def routes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per vector: partitions, most probable first, and how many of them a query visits."""
+        o = self.logits(x)
+        e = np.exp(o - o.max(axis=1, keepdims=True))
+        order = np.argsort(-o, axis=1, kind="stable")
+        reached = np.cumsum(np.take_along_axis(e / e.sum(axis=1, keepdims=True), order, axis=1), axis=1)
+        return order, np.minimum((reached < self.mass).sum(axis=1) + 1, o.shape[1])
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -107,7 +119,7 @@ def balanced_partitions(graph: np.ndarray, x: np.ndarray, parts: int, rounds: in
     return label
 
 
-def fit_router(x: np.ndarray, label: np.ndarray, parts: int, graph: np.ndarray, steps: int = 300, seed: int = 7) -> Router:
+def fit_router(x: np.ndarray, label: np.ndarray, parts: int, graph: np.ndarray, steps: int = 400, seed: int = 7) -> Router:
     """Train the classifier; a vector's target is the share of partitions among itself and its neighbours."""
     rng = np.random.default_rng(seed)
     target = np.zeros((len(x), parts))
@@ -144,11 +156,23 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTITIONS) -> Ro
     parts = max(1, min(parts, len(x) // 8))
     if len(x) < 2:
         return Router(np.zeros(size["n"]), 1.0, np.zeros((size["n"], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    graph = neighbour_graph(x, GRAPH_NEIGHBOURS)
-    return fit_router(x, balanced_partitions(graph, x, parts), parts, graph)
+    held = len(x) // 5 if len(x) >= 200 else 0
+    seen, unseen = x[held:], x[:held]
+    graph = neighbour_graph(seen, GRAPH_NEIGHBOURS)
+    router = fit_router(seen, balanced_partitions(graph, seen, parts), parts, graph)
+    if held:  # neighbours are farther apart in the sample than in the table, so this errs to more partitions
+        near = np.argpartition(squared_distances(unseen, seen), K - 1, axis=1)[:, :K]
+        part, order = router.routes(seen)[0][:, 0], router.routes(unseen)[0]
+        place = np.argsort(order, axis=1)  # of each partition in each vector's order
+        need = np.take_along_axis(place, part[near], axis=1)
+        for mass in (*np.arange(0.05, 1, 0.05), 0.97, 0.98, 0.99, 0.995, 0.999, 1.0):
+            router.mass = float(mass)
+            if (need < router.routes(unseen)[1][:, None]).mean() >= TARGET_RECALL:
+                break
+    return router
 
 
-def search(vectors: DataFrame, queries: Column, k: int = K, routes: int = ROUTES, router: Router | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = K, router: Router | None = None) -> DataFrame:
     """Each query row's k nearest of the routed partitions: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -157,13 +181,12 @@ def search(vectors: DataFrame, queries: Column, k: int = K, routes: int = ROUTES
         return spark.createDataFrame([], schema)
     sent, size = spark.sparkContext.broadcast(router), len(router.mean)
     rows = vectors.filter(usable("embedding", size) & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.coalesce(queries, F.lit(False)).alias("is_query"))
-    routes = min(routes, len(router.b2))
 
     def deal(batches):
         for pdf in batches:
             if len(pdf):
-                logits = sent.value.logits(np.array(pdf["embedding"].tolist(), np.float64))
-                pdf["routes"] = list(np.argsort(-logits, axis=1, kind="stable")[:, : max(routes, 1)].astype(np.int32))
+                order, n = sent.value.routes(np.array(pdf["embedding"].tolist(), np.float64))
+                pdf["routes"] = [r[:m].astype(np.int32) for r, m in zip(order, n, strict=True)]
                 yield pdf
 
     dealt = rows.mapInPandas(deal, f"vec_id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, is_query boolean, routes array<int>")

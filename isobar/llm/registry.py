@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, lm, mergedropout, mixing, neardup, quality, toxicity, warc, weaklabel
+from . import ann, langid, lm, mergedropout, mixing, neardup, quality, toxicity, warc, weaklabel
 
-MODULES = (langid, toxicity, neardup, lm, quality, warc, mergedropout, mixing, weaklabel)
+MODULES = (langid, toxicity, neardup, lm, quality, warc, ann, mergedropout, mixing, weaklabel)
 
 
 def queries() -> dict:
