@@ -1 +1 @@
-"""See the package README section on layout."""
+"""Column expressions and numerical helpers."""

@@ -1 +1 @@
-"""See the package README section on layout."""
+"""Operators: alignment, native and fitted bias correction, predictors, models."""

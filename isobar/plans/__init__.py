@@ -1 +1 @@
-"""See the package README section on layout."""
+"""Entry points that compose operators: bias correction, downscaling, cross-validation."""

@@ -1 +1 @@
-"""See the package README section on layout."""
+"""Reading and writing long-format grids."""

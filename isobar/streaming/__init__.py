@@ -1 +1 @@
-"""See the package README section on layout."""
+"""Applying fitted tables to streams."""
