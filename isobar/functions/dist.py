@@ -182,6 +182,32 @@ def _gamma_start(x):
     return m * m / v, m / v
 
 
+def digamma(x: float) -> float:
+    """Derivative of the log gamma function, by recurrence and asymptotic series."""
+    out = 0.0
+    while x < 6:
+        out -= 1 / x
+        x += 1
+    f = 1 / (x * x)
+    return out + math.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f / 240)))
+
+
+def _gamma_fit(x):
+    """Shape by Newton steps on log shape - digamma(shape) = log mean - mean log; then the rate."""
+    x = np.maximum(x, 1e-300)
+    s = max(math.log(x.mean()) - np.log(x).mean(), 1e-12)
+    k = (3 - s + math.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
+    for _ in range(30):
+        h = 1e-5 * k
+        g = math.log(k) - digamma(k) - s
+        slope = (math.log(k + h) - digamma(k + h) - math.log(k - h) + digamma(k - h)) / (2 * h)
+        new = max(k - g / slope, k / 10)
+        if abs(new - k) < 1e-12 * k:
+            break
+        k = new
+    return k, k / x.mean()
+
+
 def _beta_start(x):
     m, v = _moments(x)
     k = max(m * (1 - m) / v - 1, 0.1)
@@ -214,7 +240,7 @@ FAMILIES: dict[str, Family] = {
         Family("normal", lambda x, m, s: -((x - m) ** 2) / (2 * s * s) - np.log(s) - _HALF_LOG_2PI, lambda x, m, s: 0.5 * (1 + _erf((np.asarray(x, float) - m) / (s * math.sqrt(2)))), _moments, (False, True), closed=lambda x: (x.mean(), x.std())),
         Family("lognormal", lambda x, m, s: -((np.log(x) - m) ** 2) / (2 * s * s) - np.log(s * x) - _HALF_LOG_2PI, lambda x, m, s: 0.5 * (1 + _erf((np.log(np.maximum(x, 1e-300)) - m) / (s * math.sqrt(2)))), _moments, (False, True), low=0.0, closed=lambda x: (np.log(np.maximum(x, 1e-300)).mean(), np.log(np.maximum(x, 1e-300)).std())),
         Family("exponential", lambda x, r: np.log(r) - r * x, lambda x, r: -np.expm1(-r * np.maximum(x, 0)), lambda x: (1 / x.mean(),), (True,), low=0.0, closed=lambda x: (1 / x.mean(),)),
-        Family("gamma", lambda x, a, r: a * np.log(r) - math.lgamma(a) + (a - 1) * np.log(x) - r * x, lambda x, a, r: gammainc(a, r * np.asarray(x, float)), _gamma_start, (True, True), low=0.0),
+        Family("gamma", lambda x, a, r: a * np.log(r) - math.lgamma(a) + (a - 1) * np.log(x) - r * x, lambda x, a, r: gammainc(a, r * np.asarray(x, float)), _gamma_start, (True, True), low=0.0, closed=_gamma_fit),
         Family("weibull", lambda x, k, s: np.log(k / s) + (k - 1) * np.log(x / s) - (x / s) ** k, lambda x, k, s: -np.expm1(-((np.maximum(x, 0) / s) ** k)), lambda x: (1.2, x.mean()), (True, True), low=0.0),
         Family("logistic", lambda x, m, s: -(x - m) / s - np.log(s) - 2 * np.log1p(np.exp(-np.clip((x - m) / s, -700, 700))), lambda x, m, s: 1 / (1 + np.exp(-np.clip((np.asarray(x, float) - m) / s, -700, 700))), lambda x: (x.mean(), max(x.std(), 1e-9) * math.sqrt(3) / math.pi), (False, True)),
         Family("cauchy", lambda x, m, s: -np.log(math.pi * s * (1 + ((x - m) / s) ** 2)), lambda x, m, s: 0.5 + np.arctan((np.asarray(x, float) - m) / s) / math.pi, lambda x: (np.median(x), max(np.subtract(*np.percentile(x, [75, 25])) / 2, 1e-9)), (False, True)),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.operators import grid, kernels, native
+from isobar.operators import grid, isimip1, kernels, native
 from isobar.operators import isimip3 as _isimip3
 
 #: Methods of bias_correct; those of ``kernels`` fit per series in Arrow batches.
@@ -108,3 +108,16 @@ def bias_correct(
         names = [c for c in out.columns if c not in ("s", "corrected")]
         return out.select(*names, F.lit("corrected").alias("var"), F.col("corrected").alias("value")).unionAll(out.select(*names, F.lit("raw").alias("var"), F.col("s").alias("value")))
     return out
+
+
+def isimip(train: DataFrame, sim: DataFrame, keys: list[str], kind: str = "additive", threshold: float | tuple[float, float, float] = 1.0) -> DataFrame:
+    """The first-generation monthly method: additive, precipitation or multiplicative.
+
+    Extremes of temperature, wind components and snowfall follow their driver: see ratio_extreme and
+    component in operators.isimip1.
+    """
+    if kind == "additive":
+        return isimip1.additive(train, sim, keys)
+    if kind not in ("precipitation", "multiplicative"):
+        raise ValueError("kind is additive, precipitation or multiplicative")
+    return isimip1.wet(train, sim, keys, threshold, product=kind == "multiplicative")

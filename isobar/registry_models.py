@@ -204,6 +204,13 @@ _model("glm_lasso", fitting="L1")
 _model("glm_elastic_net", fitting="L1L2")
 
 
+@_query("glm_group_lasso")
+def _group_lasso(spark, sf_dir):
+    g = fixtures.predictors(spark, sf_dir).withColumn("g", F.lit(0)).withColumn("x", F.array(F.col("x1") / 50, "x2", "x3"))
+    rows = g.select("g", "x", F.array(F.col("y") / 1e4, F.col("x1") + F.col("x2") * 3).alias("y"))
+    return glm.fit_group_lasso(rows, ["g"], folds=4, grid=8).select("site", F.transform("coef", lambda c: F.round(c, 4) + 0.0).alias("coef"))
+
+
 @_query("nn")
 def _nn(spark, sf_dir):
     g = fixtures.predictors(spark, sf_dir).withColumn("site", F.lit(0))

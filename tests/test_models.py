@@ -54,6 +54,15 @@ def test_glm_matches_least_squares(spark):
     assert glm.fit(rows, ["site"], fitting="stepwise").first()["coef"] == pytest.approx([1.0, 2.0, -1.0])
 
 
+def test_group_lasso_drops_a_predictor_for_all_responses():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3))
+    y = np.column_stack((2 * x[:, 0], -x[:, 0] + x[:, 1]))
+    c = glm.group_lasso(x, y, 1e-6)
+    assert c[1:] == pytest.approx(np.array([[2, -1], [0, 1], [0, 0]]), abs=1e-3)
+    assert (glm.group_lasso(x, y, 0.5)[3] == 0).all()
+
+
 def test_analogs_leave_out_the_window(spark):
     days = [dt.date(2000, 1, 1) + dt.timedelta(i) for i in range(20)]
     train = spark.createDataFrame([(d, [float(i)]) for i, d in enumerate(days)], "day date, x array<double>")
