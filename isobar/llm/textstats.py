@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import mix64
+
 # The characters counted as symbols, and the white space that separates words.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 WINDOW = 8
-#: Odd multipliers for positions in a window of word numbers.
-_WEIGHTS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) + 2 * i * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(WINDOW)], np.uint64)
+#: Unrelated odd multipliers for the positions in a window of word numbers.
+_WEIGHTS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 
 
 def encode(text: str | None) -> bytes:
