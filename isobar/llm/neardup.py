@@ -4,10 +4,14 @@ Texts with equal shingle sets form a class first, so copies cost one row. Each c
 every tree of the forest sorts all classes by its own order of the signature's parts (a range-partitioned
 sort, so no key lands in one task). A region is a run of classes that share a tree's first DEPTH parts.
 In a small region all pairs are candidates; in a large one the order itself goes deeper, and each class
-meets its neighbour with the longest common prefix. Candidates whose signatures agree well enough are
-confirmed exactly. Then the components of confirmed links are found, and every large region (or one cut
-by a partition) that still holds several components is searched in full across them, so neighbour-only
-comparison loses no link that shares a region.
+meets its neighbour with the longest common prefix. Classes that share regions form a cluster, and no
+link leaves its cluster.
+
+In a cluster, the shingles that only one class has bound its similarity to every other: a pair with u and
+v such shingles and at most m others in common reaches at most m / (m + u + v). Candidates that pass this
+bound are confirmed exactly on full sets. Then the components of confirmed links are found, and a cluster
+that still holds several is searched in full across them under the same bound, so comparing only
+neighbours in large regions loses no link.
 
 Defined results: a text without words (null included) has an empty set, is linked with nothing and is its
 own component; a text shorter than a shingle is one shingle of all its words; rows with one ``doc_id``
@@ -106,7 +110,11 @@ def _agree(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.n
 
 
 def walk_forest(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (tree null) and the members of large or cut regions (b null), from sorted partitions."""
+    """(a, b, candidate) from sorted partitions: pairs to confirm, and ties that only hold a region together.
+
+    The first and last rows of each partition also come as (a, tree, key) with b null, so a region cut by
+    a partition is tied together again.
+    """
 
     def run(batches):
         held, first = None, True
@@ -130,47 +138,73 @@ def walk_forest(rows: DataFrame) -> DataFrame:
         ids, size = rows["id"].to_numpy(), rows["n_shingles"].to_numpy()
         begins = np.concatenate(([True], (tree[1:] != tree[:-1]) | (key[1:] != key[:-1])))
         run_of = np.cumsum(begins) - 1
-        length = np.bincount(run_of)
-        large = length > SMALL_REGION
-        full = ~large[run_of]
+        full = (np.bincount(run_of) <= SMALL_REGION)[run_of]
         found = []
-        for step in range(1, SMALL_REGION):
-            if step >= n:
-                break
+        for step in range(1, min(SMALL_REGION, n)):
             ok = run_of[step:] == run_of[:-step]
             if step > 1:
                 ok &= full[step:]
             at = np.nonzero(ok)[0]
-            at = at[_agree(codes[at], codes[at + step], size[at], size[at + step])]
-            found.append(np.stack((np.minimum(ids[at], ids[at + step]), np.maximum(ids[at], ids[at + step])), axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            near = _agree(codes[at], codes[at + step], size[at], size[at + step])
+            tie = near | (~full[at] & (step == 1))
+            found.append(np.stack((np.minimum(ids[at], ids[at + step]), np.maximum(ids[at], ids[at + step]), near), axis=1)[tie])
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        if len(pairs):
-            none = pa.nulls(len(pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()), none.cast(pa.int64())], ["id", "b", "tree", "key", "order", "n_shingles"])
-        open_ = large.copy()
-        if first:
-            open_[0] = True  # a run at either end of the partition may go on in its neighbour
-        if last:
-            open_[-1] = True
-        at = np.nonzero(open_[run_of])[0]
-        for i in range(0, len(at), 20_000):
-            part = rows.take(pa.array(at[i : i + 20_000])).combine_chunks()
-            yield pa.RecordBatch.from_arrays([part["id"].chunk(0), pa.nulls(len(part)).cast(pa.int64()), part["tree"].chunk(0), part["key"].chunk(0), part["order"].chunk(0), part["n_shingles"].chunk(0)], ["id", "b", "tree", "key", "order", "n_shingles"])
+        edge = sorted(({0} if first else set()) | ({n - 1} if last else set()))
+        a = np.concatenate((pairs[:, 0], ids[edge]))
+        none = [None] * len(pairs)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array([*pairs[:, 1].tolist(), *[None] * len(edge)], pa.int64()), pa.array([*(pairs[:, 2] > 0).tolist(), *[False] * len(edge)]), pa.array([*none, *tree[edge].tolist()], pa.int32()), pa.array([*none, *key[edge].tolist()], pa.binary())],
+            ["a", "b", "candidate", "tree", "key"],
+        )
 
     dealt = rows.repartitionByRange("tree", "key", "order", "id").sortWithinPartitions("tree", "key", "order", "id")
-    return dealt.mapInArrow(run, "id long, b long, tree int, key binary, order binary, n_shingles long")
+    return dealt.mapInArrow(run, "a long, b long, candidate boolean, tree int, key binary")
+
 
+def cut_ties(walked: DataFrame) -> DataFrame:
+    """Ties (a, b) between the ends of partitions that lie in one region (two rows a partition at most)."""
+    ends = walked.filter("b is null").select("a", "tree", "key")
+    least = ends.groupBy("tree", "key").agg(F.min("a").alias("b"))
+    return ends.join(least, ["tree", "key"]).filter("a <> b").select("a", "b")
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; sets are made for the texts in question only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+def shared_sets(docs: DataFrame, clusters: DataFrame, size: int) -> DataFrame:
+    """(id, cluster, shingles) of the classes in clusters; only their texts are read into sets."""
 
     def make():
         shingler = Shingler(size)
-        return lambda chunk: {"id": chunk["doc_id"], "shingles": [shingler(encode(x)).tobytes() for x in chunk["text"]]}
+        return lambda chunk: {"id": chunk["doc_id"], "cluster": chunk["cluster"], "shingles": [shingler(encode(x)).tobytes() for x in chunk["text"]]}
+
+    rows = docs.select("doc_id", "text").join(clusters.select(F.col("id").alias("doc_id"), "cluster").hint("merge"), "doc_id")
+    return map_chunks(rows, ["doc_id", "cluster", "text"], "id long, cluster long, shingles binary", make)
+
+
+def unshared(sets: DataFrame) -> DataFrame:
+    """(id, u): how many of a class's shingles no other class of its cluster has.
 
-    sets = written(map_chunks(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), ["doc_id", "text"], "id long, shingles binary", make), "neardup-sets")
+    A hash that stands for two shingles can only lower the count, which keeps the bound safe.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for id_, cluster, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = mix64(np.frombuffer(raw.as_buffer(), np.uint64) ^ mix64(np.array([cluster], np.int64).astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), id_))], ["h", "id"])
+
+    each = sets.select("id", "cluster", "shingles").mapInArrow(run, "h long, id long")
+    once = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
+    return once.groupBy("id").agg(F.count("*").alias("u"))
+
+
+def _may_reach(na, ua, nb, ub):
+    """Column: the bound on the similarity of a pair reaches the threshold."""
+    m = F.least(na - ua, nb - ub)
+    return 100 * m >= PERCENT * (m + ua + ub)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
 
     def run(batches):
         for batch in batches:
@@ -183,52 +217,72 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    met = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "sa", "sb")
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _local_stars(edges: DataFrame) -> DataFrame:
+    """Each partition's edges (u, v) replaced by stars around the least id of their local components."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def top(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(u), top(v)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        stars = [(x, top(x)) for x in up]
+        stars = [(x, m) for x, m in stars if x != m]
+        for i in range(0, len(stars), 50_000):
+            part = stars[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([m for _, m in part], pa.int64())], ["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each linked id reaches. Links are rows (a, b).
 
-    Alternates large-star and small-star steps until nothing changes; each step is an aggregation and
-    a join, and is written, so no node's neighbours are ever gathered in one place.
+    Partitions shrink their own edges to stars; large-star and small-star steps join those, until every
+    id hangs on one root that hangs on nothing. Each round is written, and is made of aggregations and
+    joins, so no node's neighbours are ever gathered in one place.
     """
-    edges, before = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"), None
+    edges = written(_local_stars(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "links")
     while True:
+        ids = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("m")).first()
+        roots = edges.select(F.col("v").alias("u")).distinct()
+        if ids["n"] == ids["m"] and edges.select("u").join(roots, "u", "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = written(small, "links")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect()[0]
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        edges = written(_local_stars(written(small, "links")), "links")
 
 
-def across(open_rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs between different components of one region.
+def across(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs between different components of one cluster that the bound leaves possible.
 
-    In each region the component with most members is the main one; the members of others meet every
-    member outside their own component. Regions of one component drop out.
+    In each cluster the component with most members is the main one; the members of others meet every
+    member outside their own component. Clusters of one component drop out, and so do classes that are
+    too different from all others.
     """
-    rows = open_rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    per = rows.groupBy("tree", "key", "component").count()
-    main = per.groupBy("tree", "key").agg(F.max(F.struct("count", "component")).getField("component").alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    members = rows.join(main, ["tree", "key"])
-    rest = members.filter("component <> main").select("tree", "key", *[F.col(c).alias(f"{c}_") for c in ("id", "component", "order", "n_shingles")])
-    near = F.col("n_shingles") * 100 >= F.col("n_shingles_") * PERCENT
-    met = members.join(rest, ["tree", "key"]).filter((F.col("component") != F.col("component_")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("id_"))) & near & (F.col("n_shingles_") * 100 >= F.col("n_shingles") * PERCENT))
-
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARTS) for i in (2, 3))
-            ok = (a == b).sum(axis=1) >= MIN_AGREEMENT * PARTS
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"), "order", "order_").mapInArrow(run, "a long, b long").distinct()
+    rows = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = rows.filter(_may_reach(F.col("n_shingles"), F.col("u"), F.col("n_shingles"), F.lit(0)))
+    per = rows.groupBy("cluster", "component").count()
+    main = per.groupBy("cluster").agg(F.max(F.struct("count", "component")).getField("component").alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    open_ = rows.join(main, "cluster").select("cluster", "id", "component", "main", "n_shingles", "u")
+    rest = open_.filter("component <> main").select("cluster", *[F.col(c).alias(f"{c}_") for c in ("id", "component", "n_shingles", "u")])
+    other = (F.col("component") != F.col("component_")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("id_")))
+    met = open_.hint("merge").join(rest, (open_["cluster"] == rest["cluster"]) & other & _may_reach(F.col("n_shingles"), F.col("u"), F.col("n_shingles_"), F.col("u_")))
+    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
@@ -238,12 +292,20 @@ def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
     classes = sketches.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = written(classes.withColumn("codes", codes), "neardup-classes")
     walked = written(walk_forest(forest_rows(classes)), "neardup-walk")
-    pairs = walked.filter("b is not null").select(F.col("id").alias("a"), "b").distinct()
-    links = written(confirm(pairs, docs, size), "neardup-links")
-    labels = components(links)
-    more = written(across(walked.filter("b is null"), labels), "neardup-across")
+    ties = walked.filter("b is not null").select("a", "b").unionAll(cut_ties(walked))
+    grouped = components(ties).withColumnRenamed("component", "cluster")
+    clusters = written(grouped.unionAll(grouped.select(F.col("cluster").alias("id"), "cluster").distinct()), "neardup-clusters")
+    sets = written(shared_sets(docs, clusters, size), "neardup-sets")
+    u = unshared(sets)
+    sizes = sets.groupBy("id").agg(F.max("cluster").alias("cluster"), F.max(F.expr("octet_length(shingles) div 8")).alias("n_shingles"), F.count("*").alias("texts"))
+    # a doc_id with several texts has no one set: its largest stands for all, and nothing counts as its own
+    members = written(sizes.join(u, "id", "left").select("id", "cluster", "n_shingles", F.when(F.col("texts") > 1, 0).otherwise(F.coalesce("u", F.lit(0))).cast("long").alias("u")), "neardup-members")
+    a, b = (members.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("u").alias(f"u{c}")) for c in ("a", "b"))
+    pairs = walked.filter("candidate").select("a", "b").distinct().join(a, "a").join(b, "b").filter(_may_reach(F.col("na"), F.col("ua"), F.col("nb"), F.col("ub"))).select("a", "b")
+    labels = components(confirm(pairs, sets))
+    more = written(across(members, labels), "neardup-across")
     if not more.isEmpty():
-        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(confirm(more, docs, size)))
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(confirm(more, sets)))
     own = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(own, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
