@@ -22,6 +22,7 @@ is never ``kept``; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ SMALL_REGION = 4
 #: Signature agreement a candidate needs: four and a half standard errors below a similarity of 0.8.
 MIN_AGREEMENT = 48 / PARTS
 PERCENT = 80
+#: Sets a side of a block that is searched across components.
+BLOCK = 512
 _FACTORS = mix64(np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -267,22 +270,63 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(_local_stars(written(small, "links")), "links")
 
 
-def across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs between different components of one cluster that the bound leaves possible.
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all sets of b, through blocks of 0/1 columns."""
+    fa, fb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(fa, fb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for flat, sets in ((fa, a), (fb, b)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        col = np.searchsorted(both, flat)
+        hit = (col < len(both)) & (both[np.minimum(col, max(len(both) - 1, 0))] == flat) if len(both) else np.zeros(len(flat), bool)
+        row, col = row[hit], col[hit]
+        order = np.argsort(col, kind="stable")
+        sides.append((row[order], col[order], len(sets)))
+    for start in range(0, len(both), width):
+        parts = []
+        for row, col, n in sides:
+            lo, hi = np.searchsorted(col, [start, start + width])
+            m = np.zeros((n, min(width, len(both) - start)), np.float32)
+            m[row[lo:hi], col[lo:hi] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between different components of one cluster.
 
     In each cluster the component with most members is the main one; the members of others meet every
-    member outside their own component. Clusters of one component drop out, and so do classes that are
-    too different from all others.
+    member outside their own component, in blocks of BLOCK sets a side, and only links leave a block (one
+    for each two components that it joins). Clusters of one component drop out, and so do classes that
+    are too different from all others.
     """
     rows = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = rows.filter(_may_reach(F.col("n_shingles"), F.col("u"), F.col("n_shingles"), F.lit(0)))
     per = rows.groupBy("cluster", "component").count()
-    main = per.groupBy("cluster").agg(F.max(F.struct("count", "component")).getField("component").alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    open_ = rows.join(main, "cluster").select("cluster", "id", "component", "main", "n_shingles", "u")
-    rest = open_.filter("component <> main").select("cluster", *[F.col(c).alias(f"{c}_") for c in ("id", "component", "n_shingles", "u")])
-    other = (F.col("component") != F.col("component_")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("id_")))
-    met = open_.hint("merge").join(rest, (open_["cluster"] == rest["cluster"]) & other & _may_reach(F.col("n_shingles"), F.col("u"), F.col("n_shingles_"), F.col("u_")))
-    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
+    best = F.max(F.struct("count", "component"))
+    main = per.groupBy("cluster").agg(best.getField("component").alias("main"), F.count("*").alias("parts"), F.sum("count").alias("n"), (F.sum("count") - best.getField("count")).alias("n_rest")).filter("parts > 1")
+    blocks = main.select("cluster", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("bn"), F.ceil(F.col("n_rest") / BLOCK).cast("int").alias("rn"))
+    open_ = rows.select("id", "cluster", "component").join(blocks, "cluster").join(sets.select("id", "shingles"), "id")
+    salt = F.xxhash64("id", F.lit(3))
+    every = open_.select("cluster", F.pmod(salt, "bn").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("rn") - 1)).alias("rest_block"), "id", "component", "shingles")
+    rest = open_.filter("component <> main").select("cluster", F.explode(F.sequence(F.lit(0), F.col("bn") - 1)).alias("block"), F.pmod(salt, "rn").cast("int").alias("rest_block"), "id", "component", "shingles")
+    rest = rest.select(*[F.col(c).alias(c) for c in rest.columns])
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        p, q = ([np.frombuffer(v, np.uint64) for v in side["shingles"]] for side in (x, y))
+        np_, nq = (np.array([len(v) for v in side]) for side in (p, q))
+        same = _intersections(p, q)
+        linked = 100 * same >= PERCENT * (np_[:, None] + nq[None, :] - same)
+        i, j = np.nonzero(linked & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]))
+        out = pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["id"].to_numpy()[j], "ca": x["component"].to_numpy()[i], "cb": y["component"].to_numpy()[j]})
+        return out.drop_duplicates(["ca", "cb"])[["a", "b"]]
+
+    key = ["cluster", "block", "rest_block"]
+    return every.groupBy(*key).cogroup(rest.groupBy(*key)).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
@@ -303,9 +347,9 @@ def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
     a, b = (members.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("u").alias(f"u{c}")) for c in ("a", "b"))
     pairs = walked.filter("candidate").select("a", "b").distinct().join(a, "a").join(b, "b").filter(_may_reach(F.col("na"), F.col("ua"), F.col("nb"), F.col("ub"))).select("a", "b")
     labels = components(confirm(pairs, sets))
-    more = written(across(members, labels), "neardup-across")
+    more = written(across(members, labels, sets), "neardup-across")
     if not more.isEmpty():
-        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(confirm(more, sets)))
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
     own = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(own, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
