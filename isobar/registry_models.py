@@ -119,14 +119,20 @@ for _name, _f in (("mean", "avg(value::DOUBLE)"), ("wmean", "sum(value / greates
 
 @_query("analogs_window", """, d AS (SELECT q.t AS target, c.t AS day, c.y AS value, sqrt((q.x1 - c.x1) ** 2 + (q.x2 - c.x2) ** 2 + (q.x3 - c.x3) ** 2) AS dist FROM g q, g c WHERE year(q.t) = 1998 AND year(c.t) IN (1997, 1998) AND abs(date_diff('day', q.t, c.t)) > 7),
 b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY target ORDER BY dist, day) <= 4) SELECT target, round(avg(value), 4) + 0.0 AS value FROM b GROUP BY 1""")
-def _window(spark, sf_dir):
+def _window(spark, sf_dir, targets="year(t) = 1998", training="year(t) in (1997, 1998)"):
     g = fixtures.predictors(spark, sf_dir).withColumn("x", F.array("x1", "x2", "x3"))
-    train = g.filter("year(t) in (1997, 1998)").select(F.col("t").alias("day"), "x")
-    target = g.filter("year(t) = 1998").select(F.col("t").alias("target"), "x")
+    train = g.filter(training).select(F.col("t").alias("day"), "x")
+    target = g.filter(targets).select(F.col("t").alias("target"), "x")
     values = g.select(F.col("t").alias("day"), F.lit(0).alias("site"), F.col("y").alias("value"))
     return _out(analogs.predict(train, target, values, 4, "mean", 7), "target", value="value")
 
 
+@_query("analogs_window_all")
+def _window_all(spark, sf_dir):
+    """Every day against every day; analogs_window stays with the years of its SQL."""
+    return _window(spark, sf_dir, "true", "true")
+
+
 @_query("glm_gaussian", """, l AS (SELECT regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM g WHERE year(t) < 1999) SELECT t, round(a + b * x1, 4) + 0.0 AS prediction FROM g, l WHERE year(t) >= 1999""")
 def _gaussian(spark, sf_dir):
     g = fixtures.predictors(spark, sf_dir).withColumn("site", F.lit(0)).withColumn("x", F.array("x1"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from isobar import registry
 from isobar.functions import dist
 from isobar.operators import analogs, glm, isimip3, predictors
 from isobar.sources import grids
@@ -71,6 +72,20 @@ def test_analogs_leave_out_the_window(spark):
     assert [r["day"] for r in got] == [days[6], days[14]]
 
 
+def test_windowed_analogs_search_all_days(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    days = [dt.date(1996, 3, 1) + dt.timedelta(3 * i) for i in range(600)]  # 1996 to 2001
+    x, y, t = rng.uniform(size=(600, 3)), rng.uniform(1, 9, 600), np.array([d.toordinal() for d in days])
+    lines = [(d, *map(float, v), float(w)) for d, v, w in zip(days, x, y, strict=True)]
+    spark.createDataFrame(lines, "l_shipdate date, l_quantity double, l_discount double, l_tax double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {}
+    for i, d in enumerate(days):
+        dist = np.where(np.abs(t - t[i]) <= 7, np.inf, ((x - x[i]) ** 2).sum(axis=1))
+        want[d] = y[np.argsort(dist)[:4]].mean()
+    got = {r["target"]: r["value"] for r in registry.queries()["analogs_window_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-3)
+
+
 def test_change_transfer_stays_in_bounds():
     assert float(isimip3.transfer_change(0.2, 0.4, 0.2)) == pytest.approx(0.1)
     assert float(isimip3.transfer_change(0.5, 0.5, 0.7)) == pytest.approx(0.7)
