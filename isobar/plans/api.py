@@ -42,28 +42,43 @@ def method_for(method: str, precipitation: bool = False, **options) -> Callable[
     return lambda a, b, k: kernels.correct(a, b, k, method, precipitation=precipitation, threshold=thr, **options)
 
 
+def _width_step(window: int | tuple[int, int]) -> tuple[int, int]:
+    return (window, window) if isinstance(window, int) else window
+
+
 def windowed(method: Callable, train: DataFrame, sim: DataFrame, keys: list[str], width: int, step: int) -> DataFrame:
     """Calibrate each block of ``step`` days on the ``width`` days around it; one job for all blocks."""
     blocks = sim.withColumn("window_id", grid.day_block("t", step))
     return method(grid.expand_windows(train, width, step), blocks, [*keys, "window_id"]).drop("window_id")
 
 
-def cross_validate_bias(series: DataFrame, keys: list[str], method: str | Callable, folds: int | str | list[list[int]], **options) -> DataFrame:
+def cross_validate_bias(series: DataFrame, keys: list[str], method: str | Callable, folds: int | str | list[list[int]], window: int | tuple[int, int] | None = None, **options) -> DataFrame:
     """Correct every fold's years with a calibration on all other years; all folds in one job.
 
-    ``series`` has keys, t, obs and pred. ``delta`` takes the fold's own observations as its base.
+    ``series`` has keys, t, obs and pred. ``delta`` takes the fold's own observations as its base. With
+    ``window`` each fold's blocks of days are calibrated on the other years' days around them.
     """
     year = F.year("t")
     table = grid.leave_one_out(series, year) if folds == "loo" else grid.year_folds(series, folds, year)
     rows = series.select(*keys, "t", F.col("obs").alias("o"), F.col("pred").alias("p"))
     train = grid.expand_folds(rows, table, year)
     sim = series.withColumn("year", year).join(F.broadcast(table), "year").select(*keys, "fold", "t", F.col("pred").alias("s"))
+    group = [*keys, "fold"]
+    if method == "isimip3":
+        window = None  # it works per calendar month and takes no window
     if method == "delta":
-        base = series.withColumn("year", year).join(F.broadcast(table), "year").select(*keys, "fold", "t", "obs")
-        means = train.groupBy(*keys, "fold").agg(F.avg("p").alias("mp")).join(sim.groupBy(*keys, "fold").agg(F.avg("s").alias("ms")), [*keys, "fold"])
-        return base.join(means, [*keys, "fold"]).select(*keys, "t", native.finite(F.col("obs") + (F.col("ms") - F.col("mp"))).alias("corrected"))
+        base = series.withColumn("year", year).join(F.broadcast(table), "year").select(*group, "t", "obs")
+        if window is not None:
+            width, step = _width_step(window)
+            train = grid.expand_windows(train, width, step)
+            sim, base = (x.withColumn("window_id", grid.day_block("t", step)) for x in (sim, base))
+            group.append("window_id")
+        means = train.groupBy(*group).agg(F.avg("p").alias("mp")).join(sim.groupBy(*group).agg(F.avg("s").alias("ms")), group)
+        return base.join(means, group, "left").select(*keys, "t", native.finite(F.col("obs") + (F.col("ms") - F.col("mp"))).alias("corrected"))
     f = method if callable(method) else method_for(method, **options)
-    return f(train, sim, [*keys, "fold"]).drop("fold")
+    if window is not None:
+        return windowed(f, train, sim, group, *_width_step(window)).drop("fold")
+    return f(train, sim, group).drop("fold")
 
 
 def bias_correct(
@@ -96,12 +111,11 @@ def bias_correct(
     target = target.withColumn("m", F.month("t")).join(F.broadcast(months), "m", "left_semi").drop("m")  # at most twelve rows
     if cross_val != "none":
         series = train.withColumnsRenamed({"o": "obs", "p": "pred"})
-        out = cross_validate_bias(series, group, method, "loo" if cross_val == "loo" else folds, precipitation=precipitation, **options)
+        out = cross_validate_bias(series, group, method, "loo" if cross_val == "loo" else folds, window, precipitation=precipitation, **options)
     else:
         f = method_for(method, precipitation, **options)
         if window is not None:
-            width, step = (window, window) if isinstance(window, int) else window
-            out = windowed(f, train, target, group, width, step)
+            out = windowed(f, train, target, group, *_width_step(window))
         else:
             out = f(train, target, group)
     if return_raw and "s" in out.columns:

@@ -108,6 +108,26 @@ def test_folds(spark):
     assert grid.expand_folds(rows, folds, F.year("t")).count() == 6 * 2
 
 
+@pytest.mark.parametrize("method", ["scaling", "delta"])
+def test_windows_within_folds(spark, method):
+    rng = np.random.default_rng(3)
+    days = [D(y, 1, 1) + dt.timedelta(i) for y in (2001, 2002, 2003, 2005) for i in range(365)]
+    year, doy = np.array([d.year for d in days]), np.array([d.timetuple().tm_yday for d in days])
+    o = 10 * np.sin(doy / 58) + rng.normal(size=len(days))
+    p = 3 * np.cos(doy / 58) + rng.normal(size=len(days)) + year % 7
+    make = lambda v: spark.createDataFrame([(1, d, float(x)) for d, x in zip(days, v, strict=True)], "loc_id int, t date, value double")
+    block = (doy - 1) // 15
+    gap = np.abs(doy[None, :] - (np.arange(25) * 15 + (np.minimum(15, 365 - np.arange(25) * 15) + 1) / 2)[:, None])
+    near = np.minimum(gap, 365 - gap) <= 15
+    want = {}
+    for i, d in enumerate(days):
+        cal, own = near[block[i]] & (year != year[i]), (block == block[i]) & (year == year[i])
+        want[d] = p[i] - p[cal].mean() + o[cal].mean() if method == "scaling" else o[i] + p[own].mean() - p[cal].mean()
+    for options in ({"cross_val": "loo"}, {"cross_val": "kfold", "folds": 4}):
+        out = api.bias_correct(make(o), make(p), method=method, window=(30, 15), **options).collect()
+        assert len(out) == len(days) and {r["t"]: r["corrected"] for r in out} == pytest.approx(want, abs=1e-8)
+
+
 def test_season_year_and_circular_mean(spark):
     df = spark.createDataFrame([(D(2000, 12, 15),)], "t date")
     assert df.select(grid.season_year([12, 1, 2]).alias("y")).first()["y"] == 2001
