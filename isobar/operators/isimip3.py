@@ -165,6 +165,27 @@ def fill_invalid(x, rng, fallback=np.nan):
     return x
 
 
+def upper_climatology(x, doy, half: int) -> np.ndarray:
+    """Upper bound of each value's day of year (1 to 366): grid.circular_mean_max of one series."""
+    top, ok = np.full(366, -np.inf), np.isfinite(x)
+    np.maximum.at(top, doy[ok] - 1, x[ok])
+    near = (np.arange(366)[:, None] + np.arange(-half, half + 1)) % 366
+    ran = top[near].max(axis=1)[near]
+    n = np.isfinite(ran).sum(axis=1)
+    mean = np.where(np.isfinite(ran), ran, 0.0).sum(axis=1) / np.maximum(n, 1)
+    return np.where(n > 0, mean, np.nan)[doy - 1]
+
+
+def _share(x, bound) -> np.ndarray:
+    """x / bound; 0 where the bound is 0."""
+    return np.divide(x, bound, out=np.where(np.isfinite(x), 0.0, np.nan), where=bound != 0)
+
+
+def _leap_doy(t) -> np.ndarray:
+    """Day of year as in a leap year, the same calendar day every year."""
+    return (t.dayofyear + ((t.month > 2) & ~t.is_leap_year)).to_numpy()
+
+
 def _fit(x, preset: Preset):
     """Fit of values on the open range, as (family, params, shift, scale); None if it is poor."""
     f = family(preset.family)
@@ -256,7 +277,8 @@ def adjust_month(o, h, f, years_o, years_h, years_f, preset: Preset, rng, n=50,
 def correct(train: DataFrame, sim: DataFrame, keys: list[str], preset: Preset | str = "tas", n_quantiles: int = 50, seed: int = 1) -> DataFrame:
     """Apply the monthly correction to every series; missing inputs are filled by sampling.
 
-    A month with no valid value on one side gives null.
+    A month with no valid value on one side gives null. With a half window the values are corrected as
+    shares of their upper-bound climatology, and multiplied by the simulation's own afterwards.
     """
     preset = PRESETS[preset] if isinstance(preset, str) else preset
     for pair, good in ((preset.lower, lambda b, t: b < t), (preset.upper, lambda b, t: t < b)):
@@ -273,11 +295,17 @@ def correct(train: DataFrame, sim: DataFrame, keys: list[str], preset: Preset |
             a = a.sort_values("t", kind="stable")
             ta, tb = pd.to_datetime(a["t"]).dt, pd.to_datetime(b["t"]).dt
             o, h, f = a["o"].to_numpy(dtype=float), a["p"].to_numpy(dtype=float), b["s"].to_numpy(dtype=float)
+            if preset.half_window:
+                da, db = _leap_doy(ta), _leap_doy(tb)
+                bound = upper_climatology(f, db, preset.half_window)
+                o, h, f = _share(o, upper_climatology(o, da, preset.half_window)), _share(h, upper_climatology(h, da, preset.half_window)), _share(f, bound)
             for m in range(1, 13):
                 x, y = (ta.month == m).to_numpy(), (tb.month == m).to_numpy()
                 if y.any() and np.isfinite(o[x]).any() and np.isfinite(h[x]).any() and np.isfinite(f[y]).any():
                     rng = np.random.default_rng([seed, m, zlib.crc32(repr(tuple(key)).encode())])
                     out[y] = adjust_month(o[x], h[x], f[y], ta.year.to_numpy()[x], ta.year.to_numpy()[x], tb.year.to_numpy()[y], preset, rng, n_quantiles)
+            if preset.half_window:
+                out *= bound
         b["corrected"] = pd.Series(out).where(np.isfinite(out), None).astype(object)
         return b
 

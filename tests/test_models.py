@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from isobar import registry
 from isobar.functions import dist
-from isobar.operators import analogs, glm, isimip3, predictors
+from isobar.operators import analogs, glm, grid, isimip3, predictors
 from isobar.sources import grids
 from isobar.streaming import apply
 
@@ -102,6 +102,27 @@ def test_isimip3_bounds_and_finiteness(spark):
     assert out["lo"] >= 0 and out["n"] == 800
 
 
+def test_isimip3_radiation_is_scaled_by_its_climatology(spark):
+    rng = np.random.default_rng(8)
+    days = [dt.date(2000, 1, 1) + dt.timedelta(i) for i in range(4 * 365 + 1)]
+    doy = np.array([dt.date(2000, d.month, d.day).timetuple().tm_yday for d in days])
+    bound = 200 - 120 * np.cos(2 * np.pi * doy / 366)
+    o, p, s = (bound * rng.beta(a, 2, len(days)) for a in (4, 2, 2))
+    o[5] = p[9] = s[11] = np.nan
+    rows = spark.createDataFrame([(1, int(k), float(v)) for k, v in zip(doy, s, strict=True) if v == v], "loc_id int, doy int, value double")
+    top = {r["doy"]: r["climatology"] for r in grid.circular_mean_max(rows, ["loc_id"], 15).collect()}
+    assert isimip3.upper_climatology(s, doy, 15) == pytest.approx(np.array([top[k] for k in doy]))
+    train = spark.createDataFrame([(1, d, float(a), float(b)) for d, a, b in zip(days, o, p, strict=True)], "loc_id int, t date, o double, p double")
+    sim = spark.createDataFrame([(1, d, float(v)) for d, v in zip(days, s, strict=True)], "loc_id int, t date, s double")
+    got = {r["t"]: r["corrected"] for r in isimip3.correct(train, sim, ["loc_id"], "rsds").collect()}
+    out = np.array([got[d] for d in days])
+    assert len(np.unique(out.round(6))) > 1000 and (out >= 0).all() and (out <= [top[k] + 1e-9 for k in doy]).all()
+    shares = lambda x: np.nanmean(x / isimip3.upper_climatology(x, doy, 15))
+    assert np.mean(out / [top[k] for k in doy]) == pytest.approx(shares(o), rel=0.05)
+    ok = np.isfinite(s)
+    assert np.corrcoef(out[ok] / bound[ok], s[ok] / bound[ok])[0, 1] > 0.95
+
+
 def test_rotations_are_orthogonal():
     m = isimip3.rotation(4, np.random.default_rng(0))
     assert m @ m.T == pytest.approx(np.eye(4))
