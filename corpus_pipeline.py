@@ -10,7 +10,7 @@ doc_id count as copies, and one stays; null sources mix as one source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobar.llm import langid, mergedropout, mixing, neardup, weaklabel
@@ -51,8 +51,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every text with merge dropout and decode it again; lengths, digest and the round trip."""
-    return mergedropout.digest(mergedropout.encode(docs, check=True))
+    """Encode every copy of a text with its own merge dropout and decode it again; lengths, digest and the round trip."""
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")  # copies are alike, so any order does
+    return mergedropout.digest(mergedropout.encode(docs.withColumn("copy_", F.row_number().over(same)), check=True, copy="copy_"))
 
 
 STAGES = [

@@ -2,21 +2,22 @@
 
 An existing vocabulary's merge ranks drive the agenda: of all adjacent pairs that form a piece, the
 best-ranked (leftmost on ties) is merged first. Whether a candidate merge is skipped is decided once by
-a hash of the seed, the text's stream, the unit, the candidate's span and its piece, so a text encodes
-the same on every machine and differently under another seed or stream. Characters outside the
-vocabulary, and the vocabulary's own blank mark, become byte pieces.
+a hash of the seed, the document, its copy, the unit's place in the text, the candidate's span and its
+piece, so a row encodes the same on every machine, every occurrence of a word is cut on its own, and
+another seed, document or copy gives other cuts. Characters outside the vocabulary, and the vocabulary's own blank mark, become byte pieces.
 
 A unit is a run of blanks with the run of non-blank characters after it; no piece spans two units, nor
-a line feed or a tab, so units are encoded once per worker and remembered.
+a line feed or a tab, so units' agendas are run once per worker and set of skipped merges, and remembered.
 
-Defined results: a null text encodes to null ids (and decodes to null), an empty one to no ids; equal
-texts in one stream get equal ids; surrogates survive as bytes; extra columns are ignored.
+Defined results: a null text encodes to null ids (and decodes to null), an empty one to no ids; rows
+of one doc_id, copy and text get equal ids (null doc_ids count as one); surrogates survive as bytes; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import xxhash
@@ -27,10 +28,13 @@ from .common import map_chunks, mix64, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 20_24
-#: Texts are spread over this many streams by hash of doc_id; a unit varies between streams.
-STREAMS = 2
-#: Units a worker remembers; beyond it the memory starts anew (a speed bound, not a result bound).
+#: Nodes a worker remembers; beyond it the memory starts anew (a speed bound, not a result bound).
 UNIT_MEMORY = 400_000
+#: Skipped merges up to which a unit's agendas are remembered, and the longest such unit (speed only).
+DEPTH, LONG = 3, 24
+#: Depths that stand for units met once (run when met again), and for long ones (never remembered).
+ONCE, ALWAYS = 100, 101
+NO_MERGE = np.uint64(0xFFFFFFFFFFFFFFFF)
 MARK = "▁"
 _UNITS = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 
@@ -64,6 +68,8 @@ class Encoder:
         self.vocab, self.seed, self.limit = vocab, seed, np.uint64(min(dropout, 1 - 1e-12) * 2.0**64)
         self.single = {p: i for i, p in enumerate(vocab.pieces) if len(p) == 1}
         self.single[" "] = self.single.pop(MARK)  # a blank takes the mark's place; the mark itself is spelt in bytes
+        self.code = np.full(0x110000, -1, np.int32)
+        self.code[[ord(c) for c in self.single]] = list(self.single.values())
         ids = {p: i for i, p in enumerate(vocab.pieces) if p}
         left, right, out = [], [], []
         for p, i in ids.items():
@@ -87,13 +93,26 @@ class Encoder:
         rest.sort()
         self.rest_key = np.array([k for k, _ in rest] or [0], np.uint64)
         self.rest_out = np.array([o for _, o in rest] or [-1], np.int32)
-        self.known = {}  # by stream: unit -> number
-        self.new: list[tuple[int, str]] = []
+        self.new: list[str] = []
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.size = {}, 0
+        """Drop all nodes. A node is a unit with a set of skipped merges: its ids, and the merges that its agenda makes."""
+        self.known, self.child, self.texts, self.size = _Numbers(self), {}, [], 0
+        self.root, self.parent, self.skip, self.depth = np.zeros(1024, np.int32), np.full(1024, -1, np.int32), np.zeros(1024, np.uint64), np.zeros(1024, np.int8)
+        self.met = np.zeros(1024, np.int64)
         self.spans, self.flat, self.used = np.zeros((1024, 2), np.int64), np.zeros(8192, np.int32), 0
+        self.steps, self.made, self.used_steps = np.zeros((1024, 2), np.int64), np.zeros(8192, np.uint64), 0
+
+    def _grow(self, size: int) -> np.ndarray:
+        """Numbers of so many new nodes."""
+        new = np.arange(self.size, self.size + size)
+        self.size += size
+        if (more := self.size - len(self.root)) > 0:
+            more += len(self.root)
+            self.root, self.parent, self.skip, self.depth, self.met = (np.concatenate((x, np.zeros(more, x.dtype))) for x in (self.root, self.parent, self.skip, self.depth, self.met))
+            self.spans, self.steps = (np.concatenate((x, np.zeros((more, 2), np.int64))) for x in (self.spans, self.steps))
+        return new
 
     def _slot(self, key):
         return (mix64(key) >> np.uint64(64 - self.bits)).astype(np.int64) if isinstance(key, np.ndarray) else int(mix64(np.array([key]))[0] >> np.uint64(64 - self.bits))
@@ -112,29 +131,110 @@ class Encoder:
             out = [j for i, c in zip(out, unit, strict=True) for j in ([i] if i is not None else self.vocab.byte_ids[list(c.encode("utf-8", "surrogatepass"))].tolist())]
         return out
 
+    def _all_symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all units in a row, and how many each has."""
+        text = "".join(units)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sym, size = self.code[code], np.fromiter(map(len, units), np.int64, len(units))
+        if (bad := np.flatnonzero(sym < 0)).size:
+            c = code[bad]
+            times = np.ones(len(sym), np.int64)
+            times[bad] = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+            size = np.add.reduceat(times, np.cumsum(size) - size)
+            sym = np.repeat(sym, times)
+            spelt = "".join([text[i] for i in bad.tolist()]).encode("utf-8", "surrogatepass")
+            sym[sym < 0] = self.vocab.byte_ids[np.frombuffer(spelt, np.uint8)]
+        return sym, size
+
     def units(self, stream: int, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units in a row, and how many each has."""
-        if self.size > UNIT_MEMORY:
+        """Ids of all units in a row, and how many each has; equal units of a stream are cut alike."""
+        seed = self.seed * 0x10001 + stream & 0xFFFFFFFFFFFFFFFF
+        return self.occurrences(units, np.fromiter((xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass"), seed) for u in units), np.uint64, len(units)))
+
+    def occurrences(self, units: list[str], salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and how many each has; merges are skipped by each occurrence's salt.
+
+        A merge that is skipped matters only where the agenda would make it. So an occurrence whose salt
+        spares all merges of the unit's undropped agenda has its ids; else the first one skipped leads to
+        the unit's agenda without that merge, and so on. Nodes are run and remembered from the second
+        need on; before, past DEPTH skipped merges, and for long units, the occurrence's own agenda runs.
+        """
+        if max(self.size, len(self.child)) > UNIT_MEMORY:
             self._forget()
-        known = self.known.setdefault(stream, _Numbers(self))
-        known.stream = stream
-        at = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
         if self.new:
-            if self.size > len(self.spans):
-                self.spans = np.concatenate((self.spans, np.zeros((self.size + len(self.spans), 2), np.int64)))
-            first = self.size - len(self.new)
-            order = sorted(range(len(self.new)), key=lambda k: len(self.new[k][1]))
-            start = 0
-            while start < len(order):  # like lengths together, so padding is small
-                stop = min(len(order), start + 8192)
-                while stop - start > 1 and (stop - start) * len(self.new[order[stop - 1]][1]) > 1 << 18:
-                    stop = start + (stop - start) // 2
-                self._encode([self.new[k] for k in order[start:stop]], first + np.array(order[start:stop]))
-                start = stop
+            numbers = self._grow(len(self.new))
+            self.root[numbers], self.parent[numbers] = np.arange(len(self.texts) - len(self.new), len(self.texts)), -1
+            self.depth[numbers] = np.fromiter((ONCE if len(u) <= LONG else ALWAYS for u in self.new), np.int8, len(self.new))
             self.new = []
+            seen = np.bincount(at, minlength=self.size)[: self.size]
+            again = (self.depth[: self.size] == ONCE) & ((seen > 1) | (seen > 0) & (np.arange(self.size) < numbers[0]))
+        else:
+            again = np.zeros(self.size, bool)
+            again[at] = self.depth[at] == ONCE
+        again = np.flatnonzero(again)
+        self.depth[again] = 0
+        self._run(again)
+        todo, alone, origin = np.arange(len(units)), [], at.copy()
+        while len(todo):
+            node = at[todo]
+            own = self.depth[node] > DEPTH
+            alone.append(todo[own])
+            todo, node = todo[~own], node[~own]
+            begin, n = self.steps[node].T
+            ends = np.cumsum(n)
+            flat = np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+            hit = np.flatnonzero(mix64(np.repeat(salt[todo], n) ^ self.made[flat]) < self.limit)
+            who, first = np.unique(np.searchsorted(ends, hit, "right"), return_index=True)
+            step = flat[hit[first]]  # a place in ``made`` names its node and merge
+            todo, node = todo[who], node[who]
+            step, lead, back, times = np.unique(step, return_index=True, return_inverse=True, return_counts=True)
+            numbers = np.fromiter(map(self.child.get, step.tolist(), repeat(-1)), np.int64, len(step))
+            single = (numbers == -1) & (times == 1)
+            self.child.update(zip(step[single].tolist(), repeat(-2)))
+            alone.append(todo[single[back]])
+            if (lack := np.flatnonzero((numbers < 0) & ~single)).size:
+                numbers[lack] = self._grow(len(lack))
+                up = node[lead[lack]]
+                new = numbers[lack]
+                self.root[new], self.parent[new], self.skip[new], self.depth[new] = self.root[up], up, self.made[step[lack]], self.depth[up] + 1
+                self._run(new[self.depth[new] <= DEPTH])
+                self.child.update(zip(step[lack].tolist(), new.tolist(), strict=True))
+            at[todo] = numbers[back]
+            todo = todo[~single[back]]
+        mine = np.concatenate(alone) if alone else todo
+        roots, used = self.root[origin[mine]], self.used
+        numbers = self._grow(len(mine))
+        self.root[numbers] = roots
+        self._run(numbers, salt[mine])
+        at[mine] = numbers
         begin, n = self.spans[at].T
         ends = np.cumsum(n)
-        return self.flat[np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
+        out = self.flat[np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        self.size, self.used = self.size - len(mine), used  # these are not remembered
+        return out, n
+
+    def _run(self, numbers: np.ndarray, salt: np.ndarray | None = None) -> None:
+        """Run the agenda of nodes, each with its skipped merges, or under its salt."""
+        units = [self.texts[k] for k in self.root[numbers].tolist()]
+        order = np.argsort(np.fromiter(map(len, units), np.int64, len(units)), kind="stable")
+        start = 0
+        while start < len(order):  # like lengths together, so padding is small
+            stop = min(len(order), start + 8192)
+            while stop - start > 1 and (stop - start) * len(units[order[stop - 1]]) > 1 << 18:
+                stop = start + (stop - start) // 2
+            part = order[start:stop]
+            self._encode([units[k] for k in part], numbers[part], None if salt is None else salt[part])
+            start = stop
+
+    def _skipped(self, numbers: np.ndarray) -> np.ndarray:
+        """The merges that each node skips, a row per node."""
+        out = []
+        while (self.depth[numbers] > 0).any():
+            inner = self.depth[numbers] > 0
+            out.append(np.where(inner, self.skip[numbers], NO_MERGE))
+            numbers = np.where(inner, self.parent[numbers], numbers)
+        return np.array(out, np.uint64).reshape(len(out), len(numbers)).T
 
     def _store(self, numbers: np.ndarray, symbols: np.ndarray) -> None:
         """Keep finished rows (padded with -1)."""
@@ -147,31 +247,63 @@ class Encoder:
         self.spans[numbers, 1] = n
         self.used += len(ids)
 
-    def _encode(self, keys: list[tuple[int, str]], numbers: np.ndarray) -> None:
+    def _store_steps(self, numbers: np.ndarray, row: np.ndarray, made: np.ndarray) -> None:
+        """Keep the merges made (in the order made, by row) that the node's parents have not met."""
+        order = np.argsort(row, kind="stable")
+        row, made = row[order], made[order]
+        n = np.bincount(row, minlength=len(numbers))
+        before = np.zeros(len(numbers), np.int64)
+        inner = np.flatnonzero(self.depth[numbers] > 0)
+        if len(inner):  # the agenda is its parent's up to the merge it skips
+            up = self.parent[numbers[inner]]
+            begin, m = self.steps[up].T
+            ends = np.cumsum(m)
+            place = np.arange(ends[-1]) - np.repeat(ends - m, m)
+            same = self.made[np.repeat(begin, m) + place] == np.repeat(self.skip[numbers[inner]], m)
+            before[inner] = place[same] + self.met[up]
+        keep = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) >= np.repeat(before, n)
+        made, n = made[keep], n - before
+        if self.used_steps + len(made) > len(self.made):
+            self.made = np.concatenate((self.made, np.zeros(len(made) + len(self.made), np.uint64)))
+        self.made[self.used_steps : self.used_steps + len(made)] = made
+        self.steps[numbers, 0] = self.used_steps + np.cumsum(n) - n
+        self.steps[numbers, 1], self.met[numbers] = n, before
+        self.used_steps += len(made)
+
+    def _encode(self, units: list[str], numbers: np.ndarray, salt: np.ndarray | None) -> None:
         """Run the agenda of all these units in lockstep: each round, every unit makes its best merge."""
-        rows = [self._symbols(u) for _, u in keys]
-        n = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat, n = self._all_symbols(units)
+        skipped = self._skipped(numbers) if salt is None else None
+        steps = []
         width = int(n.max())
-        sym = np.full((len(rows), width + 1), -1, np.int32)
-        sym[np.arange(width + 1)[None, :] < n[:, None]] = np.concatenate(rows)
-        start = np.tile(np.arange(width + 1, dtype=np.int32), (len(rows), 1))
-        salt = np.fromiter((xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass"), self.seed * 0x10001 + s & 0xFFFFFFFFFFFFFFFF) for s, u in keys), np.uint64, len(keys))
+        sym = np.full((len(n), width + 1), -1, np.int32)
+        sym[np.arange(width + 1)[None, :] < n[:, None]] = flat
+        start = np.tile(np.arange(width + 1, dtype=np.int32), (len(n), 1))
+
+        def span(row, at, s, piece):
+            """The merge of these places as one hashed value."""
+            end = np.where(at + 2 < s.shape[1], begin[row, np.minimum(at + 2, s.shape[1] - 1)], width)
+            return mix64((begin[row, at].astype(np.uint64) << np.uint64(40)) ^ (end.astype(np.uint64) << np.uint64(20)) ^ piece.astype(np.uint64))
 
         def rate(live, s, at):
             """(rank, piece) of the pairs at these places of live rows; skipped candidates rank last."""
             row = np.arange(len(live))[:, None] if at.ndim == 2 else np.arange(len(live))
             a, b = s[row, at], s[row, at + 1]
             piece = np.where((a >= 0) & (b >= 0), self._merge(np.maximum(a, 0), np.maximum(b, 0)), -1)
-            end = np.where(at + 2 < s.shape[1], begin[row, np.minimum(at + 2, s.shape[1] - 1)], width)
-            salted = salt[live][:, None] if at.ndim == 2 else salt[live]
-            drop = mix64(salted ^ mix64((begin[row, at].astype(np.uint64) << np.uint64(40)) ^ (end.astype(np.uint64) << np.uint64(20)) ^ piece.astype(np.uint64))) < self.limit
+            if salt is not None:
+                drop = mix64((salt[live][:, None] if at.ndim == 2 else salt[live]) ^ span(row, at, s, piece)) < self.limit
+            else:
+                drop = np.zeros(piece.shape, bool)
+                key = span(row, at, s, piece) if skipped.shape[1] else None
+                for k in range(skipped.shape[1]):
+                    drop |= key == (skipped[live, k][:, None] if at.ndim == 2 else skipped[live, k])
             return np.where((piece < 0) | drop, np.inf, self.vocab.ranks[piece]), piece
 
-        live, begin = np.arange(len(rows)), start
+        live, begin = np.arange(len(n)), start
         s = sym
         # symbols past a unit's end begin at its length, so spans end there
         begin = np.minimum(begin, n[:, None].astype(np.int32))
-        rank, piece = rate(live, s, np.tile(np.arange(width), (len(rows), 1)))
+        rank, piece = rate(live, s, np.tile(np.arange(width), (len(n), 1)))
         while len(live):
             best = rank.argmin(axis=1)
             row = np.arange(len(live))
@@ -185,6 +317,8 @@ class Encoder:
                     break
                 if (keep := int((s >= 0).sum(axis=1).max())) + 1 < s.shape[1]:
                     s, begin, rank, piece = s[:, : keep + 1], begin[:, : keep + 1], rank[:, :keep], piece[:, :keep]
+            if salt is None:
+                steps.append((live, span(row, best, s, piece[row, best])))
             s[row, best] = piece[row, best]
             move = np.arange(s.shape[1] - 1)[None, :] > best[:, None]
             for x, fill in ((s, -1), (begin, None)):
@@ -200,6 +334,8 @@ class Encoder:
                 new_rank, new_piece = rate(live, s, safe)
                 rank[row[ok], at[ok]] = new_rank[ok]
                 piece[row[ok], at[ok]] = new_piece[ok]
+        if salt is None:
+            self._store_steps(numbers, *(np.concatenate([x[k] for x in steps] or [np.zeros(0, t)]) for k, t in ((0, np.int64), (1, np.uint64))))
 
     def text(self, text: str, stream: int = 0) -> np.ndarray:
         """Ids of a whole text (after the vocabulary's leading blank)."""
@@ -209,16 +345,17 @@ class Encoder:
 
 
 class _Numbers(dict):
-    """Unit -> number; unseen units are queued with their encoder."""
+    """Unit -> node without skipped merges; unseen units are queued with their encoder."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder, self.stream = encoder, 0
+        self.encoder = encoder
 
     def __missing__(self, unit: str) -> int:
-        n = self[unit] = self.encoder.size
-        self.encoder.size += 1
-        self.encoder.new.append((self.stream, unit))
+        e = self.encoder
+        n = self[unit] = e.size + len(e.new)
+        e.new.append(unit)
+        e.texts.append(unit)
         return n
 
 
@@ -235,10 +372,12 @@ class Decoder:
         return b"".join(map(self.table.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED, dropout: float = DROPOUT, streams: int = STREAMS, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED, dropout: float = DROPOUT, check: bool = False, copy: str | None = None) -> DataFrame:
     """Per row: doc_id, n_chars, ids; with ``check`` also whether decoding gives the text back.
 
-    The vocabulary is read on the driver and sent to the workers (32,000 pieces).
+    Merges are skipped by document, place in the text and, where ``copy`` names a column, its value, so
+    repeated copies of a document are cut differently. The vocabulary is read on the driver and sent to
+    the workers (32,000 pieces).
     """
     sent = docs.sparkSession.sparkContext.broadcast(MergeVocabulary.read(vocabulary))
 
@@ -247,18 +386,15 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED, drop
 
         def run(chunk):
             out = {"doc_id": chunk["doc_id"], "n_chars": [], "ids": [], "lossless": []}
-            stream = [xxhash.xxh3_64_intdigest(str(d).encode(), seed) % streams for d in chunk["doc_id"]]
             units = [_UNITS.findall(" " + x) if x else [] for x in chunk["text"]]
-            ids: list = [None] * len(units)
-            for s in set(stream):
-                rows = [i for i, k in enumerate(stream) if k == s]
-                flat, n = encoder.units(s, [u for i in rows for u in units[i]])
-                ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum([len(units[i]) for i in rows])]
-                start = 0
-                for i, stop in zip(rows, ends.tolist(), strict=True):
-                    if chunk["text"][i] is not None:
-                        ids[i] = flat[start:stop]
-                    start = stop
+            count = np.fromiter(map(len, units), np.int64, len(units))
+            stop = np.cumsum(count)
+            named = zip(chunk["doc_id"], chunk[copy] if copy else repeat(0), strict=False)
+            salt = np.fromiter((xxhash.xxh3_64_intdigest(f"{d} {c}".encode(), seed) for d, c in named), np.uint64, len(units))
+            place = (np.arange(1, count.sum() + 1) - np.repeat(stop - count, count)).astype(np.uint64)
+            flat, n = encoder.occurrences([u for x in units for u in x], mix64(np.repeat(salt, count) + place * np.uint64(0x9E3779B97F4A7C15)))
+            ends = np.concatenate(([0], np.cumsum(n)))
+            ids = [None if x is None else flat[ends[b - c] : ends[b]] for x, b, c in zip(chunk["text"], stop, count, strict=True)]
             for x, i in zip(chunk["text"], ids, strict=True):
                 out["n_chars"].append(None if x is None else len(x))
                 out["ids"].append(i)
@@ -267,7 +403,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED, drop
 
         return run
 
-    return map_chunks(docs, ["doc_id", "text"], "doc_id long, n_chars long, ids array<int>, lossless boolean", make)
+    return map_chunks(docs, ["doc_id", "text", *([copy] if copy else [])], "doc_id long, n_chars long, ids array<int>, lossless boolean", make)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

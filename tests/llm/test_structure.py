@@ -198,6 +198,41 @@ def test_lockstep_agenda_equals_one_at_a_time():
             assert e.units(stream, [unit])[0].tolist() == one_agenda(vocab, e, unit, stream)
 
 
+def test_occurrences_equal_the_agenda_under_their_salt():
+    vocab = mergedropout.MergeVocabulary.read(mergedropout.VOCABULARY)
+    e = mergedropout.Encoder(vocab, 7, 0.3)
+    words = [" international", " something", " Straße", "  a", "xx", " 日本語🎉", " electroencephalographically", " understanding"]
+    for part in (3, 40, 40):  # met once, and again with what is remembered
+        units = [w for w in words for _ in range(part)]
+        streams = list(range(len(units)))
+        salts = [e_salt(e, u, k) for u, k in zip(units, streams, strict=True)]
+        flat, n = e.occurrences(units, np.array(salts, np.uint64))
+        got = [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+        assert got == [one_agenda(vocab, e, u, k) for u, k in zip(units, streams, strict=True)]
+
+
+def e_salt(encoder, unit, stream):
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(unit.encode(), encoder.seed * 0x10001 + stream & 0xFFFFFFFFFFFFFFFF)
+
+
+def test_dropout_cuts_every_occurrence_and_copy_on_its_own(spark):
+    rows = [(d, c, "an international understanding " * 20) for d in range(30) for c in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, epoch long, text string")
+    got = mergedropout.encode(docs, check=True, copy="epoch").collect()
+    assert all(r["lossless"] for r in got) and len({tuple(r["ids"]) for r in got}) == 90
+    vocab = mergedropout.MergeVocabulary.read(mergedropout.VOCABULARY)
+    cuts = Counter()
+    for r in got:
+        text = "".join(("|" if vocab.pieces[i][:1] == "▁" else ".") + vocab.pieces[i] for i in r["ids"])
+        cuts.update(text.split("|"))
+    assert len([c for c in cuts if c.replace(".", "") == "▁international"]) > 5
+    assert len({tuple(r["ids"]) for r in mergedropout.encode(docs).collect()}) == 30
+    mixed = corpus_pipeline.encode_pieces(spark, docs, SF).groupBy("doc_id").agg(F.countDistinct("ids_digest").alias("n"))
+    assert [r["n"] for r in mixed.collect()] == [3] * 30
+
+
 def test_dropout_varies_and_decodes(spark):
     rows = [(1, None), (2, ""), (3, "▁x ▁ lossless ▁▁"), (4, "something international " * 2000), (5, " \n\t "), (6, "same text here"), (6, "same text here"), (None, "same text here"), (8, "a\u0000 🎉 日本語")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("lossless", F.lit("x"))
