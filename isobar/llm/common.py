@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Characters of text that a chunk holds before it is handed on (a single longer text makes a chunk of its own).
-CHUNK_CHARS = 4_000_000
+#: Bytes of text that a chunk holds before it is handed on (a single longer text makes a chunk of its own).
+CHUNK_CHARS = 2_000_000
+#: Bytes of an Arrow batch on its way to a worker, set where the session has Spark's own default (a memory bound only).
+BATCH_BYTES, DEFAULT_BATCH_BYTES = 8 << 20, 64 << 20
 #: Distinct words a worker remembers between chunks; beyond it the memory starts anew (a speed bound, not a result bound).
 WORD_MEMORY = 300_000
 
@@ -42,8 +44,31 @@ def map_chunks(df: DataFrame, columns: list, schema: str, make: Callable[[], Cal
             for piece in _pieces(batch, text):
                 out = fn({n: piece.column(i).to_pylist() for i, n in enumerate(piece.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        del fn
+        give_back()
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return map_batches(df.select(*columns), run, schema)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose batches are bounded in bytes, not only in rows."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b") == str(DEFAULT_BATCH_BYTES):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Hand a finished task's memory back: workers live on, and what they hold counts against the next stage."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def _pieces(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
@@ -141,10 +166,12 @@ def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); set to a local one only where unset."""
+    """The folder all executors share (spark.checkpoint.dir); a local one only where all run on this machine."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="isobar-")
@@ -154,6 +181,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Folders that written() made and nothing has discarded yet.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to a fresh folder under the shared one and read back: lineage ends there."""
     import uuid
@@ -161,4 +192,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that written() made; nothing that still reads them may run afterwards."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
+
+
+def folders() -> list[str]:
+    """The folders made so far, oldest first."""
+    return list(_made)

@@ -13,32 +13,44 @@ bound are confirmed exactly on full sets. Then the components of confirmed links
 that still holds several is searched in full across them under the same bound, so comparing only
 neighbours in large regions loses no link.
 
+What can be lost is a pair that shares no region of any tree, or that differs in more than half of its
+signature parts: at a similarity of exactly 0.8 that is (1 - 0.8 ** DEPTH) ** TREES, about 3e-6, and 1e-9.
+
 Defined results: a text without words (null included) has an empty set, is linked with nothing and is its
 own component; a text shorter than a shingle is one shingle of all its words; rows with one ``doc_id``
-are one document (linked by any of its texts); a row with null ``doc_id`` gets its group's component and
-is never ``kept``; extra columns are ignored.
+are one document (linked by any of its texts); rows without ``doc_id`` are one document per text: they
+take their group's component, which is null if no row of the group has a ``doc_id``, and are never
+``kept``; doc_ids lie below 2 ** 62; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordRows, map_chunks, mix64, table, word_hashes, written
+from .common import WordRows, discard, folders, give_back, map_batches, map_chunks, mix64, table, word_hashes, written
 from .textstats import encode
 
-TREES, DEPTH = 20, 4
+TREES, DEPTH = 24, 4
 PARTS = TREES * DEPTH
 #: Regions up to this many classes have all pairs compared.
 SMALL_REGION = 4
-#: Signature agreement a candidate needs: four and a half standard errors below a similarity of 0.8.
-MIN_AGREEMENT = 48 / PARTS
+#: Signature agreement a candidate needs: seven standard errors below a similarity of 0.8.
+MIN_AGREEMENT = 0.5
 PERCENT = 80
-#: Sets a side of a block that is searched across components.
-BLOCK = 512
+#: Bytes of sets a side of a block that is searched across components.
+BLOCK_BYTES = 4 << 20
+#: Rows of a sorted partition, and nodes of a graph's partition, that a worker holds at once.
+WALK_ROWS, STAR_NODES = 20_000, 500_000
+#: Keys that one node's links are dealt to.
+SALTS = 1024
+#: From here on a node stands for a text without doc_id.
+NAMELESS = 1 << 62
 _FACTORS = mix64(np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -119,29 +131,39 @@ def walk_forest(rows: DataFrame) -> DataFrame:
     a partition is tied together again.
     """
 
+    def keys(held):
+        tree, key = held["tree"].to_numpy(), np.array(held["key"].to_pylist(), dtype="S8")
+        return tree, key, np.nonzero((tree[1:] != tree[:-1]) | (key[1:] != key[:-1]))[0] + 1
+
     def run(batches):
-        held, first = None, True
+        parts, n, first, cut = [], 0, True, True  # cut: the first run held may have begun before
         for batch in batches:
-            part = pa.Table.from_batches([batch])
-            held = part if held is None else pa.concat_tables([held, part])
-            tree, key = held["tree"].to_numpy(), np.array(held["key"].to_pylist(), dtype="S8")
-            same = (tree[1:] == tree[:-1]) & (key[1:] == key[:-1])
-            breaks = np.nonzero(~same)[0] + 1
-            start = int(breaks[-1]) if len(breaks) else 0  # the last run may go on in the next batch
-            if start:
-                yield from emit(held.slice(0, start), tree[:start], key[:start], first, False)
-                first = False
-                held = held.slice(start)
-        if held is not None and len(held):
-            yield from emit(held, held["tree"].to_numpy(), np.array(held["key"].to_pylist(), dtype="S8"), first, True)
-
-    def emit(rows, tree, key, first, last):
+            parts.append(batch)
+            n += batch.num_rows
+            if n < WALK_ROWS:
+                continue
+            held = pa.Table.from_batches(parts)
+            tree, key, breaks = keys(held)
+            # the last run may go on: it waits, or is handed on as part of a large one, but for its last row
+            stop, rest = (int(breaks[-1]),) * 2 if len(breaks) else (n, n - 1)
+            yield emit(held.slice(0, stop), tree[:stop], key[:stop], first, False, cut, stop > rest)
+            first, cut, parts, n = False, stop > rest, held.slice(rest).to_batches(), n - rest
+        if n:
+            held = pa.Table.from_batches(parts)
+            tree, key, _ = keys(held)
+            yield emit(held, tree, key, first, True, cut, True)
+        give_back()
+
+    def emit(rows, tree, key, first, last, cut, goes_on):
         n = len(rows)
         codes = np.frombuffer(b"".join(rows["order"].to_pylist()), np.uint8).reshape(n, PARTS)
         ids, size = rows["id"].to_numpy(), rows["n_shingles"].to_numpy()
         begins = np.concatenate(([True], (tree[1:] != tree[:-1]) | (key[1:] != key[:-1])))
         run_of = np.cumsum(begins) - 1
-        full = (np.bincount(run_of) <= SMALL_REGION)[run_of]
+        small = np.bincount(run_of) <= SMALL_REGION
+        small[0] &= not cut  # regions that partitions or pieces cut count as large
+        small[-1] &= not goes_on
+        full = small[run_of]
         found = []
         for step in range(1, min(SMALL_REGION, n)):
             ok = run_of[step:] == run_of[:-step]
@@ -156,13 +178,13 @@ def walk_forest(rows: DataFrame) -> DataFrame:
         edge = sorted(({0} if first else set()) | ({n - 1} if last else set()))
         a = np.concatenate((pairs[:, 0], ids[edge]))
         none = [None] * len(pairs)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(a), pa.array([*pairs[:, 1].tolist(), *[None] * len(edge)], pa.int64()), pa.array([*(pairs[:, 2] > 0).tolist(), *[False] * len(edge)]), pa.array([*none, *tree[edge].tolist()], pa.int32()), pa.array([*none, *key[edge].tolist()], pa.binary())],
             ["a", "b", "candidate", "tree", "key"],
         )
 
     dealt = rows.repartitionByRange("tree", "key", "order", "id").sortWithinPartitions("tree", "key", "order", "id")
-    return dealt.mapInArrow(run, "a long, b long, candidate boolean, tree int, key binary")
+    return map_batches(dealt, run, "a long, b long, candidate boolean, tree int, key binary")
 
 
 def cut_ties(walked: DataFrame) -> DataFrame:
@@ -195,7 +217,7 @@ def unshared(sets: DataFrame) -> DataFrame:
                 h = mix64(np.frombuffer(raw.as_buffer(), np.uint64) ^ mix64(np.array([cluster], np.int64).astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), id_))], ["h", "id"])
 
-    each = sets.select("id", "cluster", "shingles").mapInArrow(run, "h long, id long")
+    each = map_batches(sets.select("id", "cluster", "shingles"), run, "h long, id long")
     once = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
     return once.groupBy("id").agg(F.count("*").alias("u"))
 
@@ -217,16 +239,23 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     met = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "sa", "sb")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(met, run, "a long, b long").distinct()
 
 
 def _local_stars(edges: DataFrame) -> DataFrame:
     """Each partition's edges (u, v) replaced by stars around the least id of their local components."""
 
+    def stars(up, top):
+        found = [(x, m) for x in up if (m := top(x)) != x]
+        for i in range(0, len(found), 50_000):
+            part = found[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([m for _, m in part], pa.int64())], ["u", "v"])
+
     def run(batches):
         up: dict[int, int] = {}
 
@@ -240,34 +269,41 @@ def _local_stars(edges: DataFrame) -> DataFrame:
                 a, b = top(u), top(v)
                 if a != b:
                     up[max(a, b)] = min(a, b)
-        stars = [(x, top(x)) for x in up]
-        stars = [(x, m) for x, m in stars if x != m]
-        for i in range(0, len(stars), 50_000):
-            part = stars[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([m for _, m in part], pa.int64())], ["u", "v"])
+            if len(up) > STAR_NODES:
+                yield from stars(up, top)
+                up.clear()
+        yield from stars(up, top)
+        del up
+        give_back()
 
-    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+    return map_batches(edges.select("u", "v"), run, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each linked id reaches. Links are rows (a, b).
 
-    Partitions shrink their own edges to stars; large-star and small-star steps join those, until every
-    id hangs on one root that hangs on nothing. Each round is written, and is made of aggregations and
-    joins, so no node's neighbours are ever gathered in one place.
+    Edges run from the larger id u to the smaller v. Partitions shrink their own edges to stars;
+    large-star and small-star steps join those, until every id hangs on one root that hangs on nothing.
+    Each step is written. A root with many edges has them dealt to SALTS keys, each of which meets one row
+    with the root's own least neighbour; an id has no more edges than there are partitions, as each makes
+    stars. So no node's edges are ever gathered in one place.
     """
+    spark, before = links.sparkSession, folders()
     edges = written(_local_stars(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "links")
     while True:
         ids = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("m")).first()
         roots = edges.select(F.col("v").alias("u")).distinct()
         if ids["n"] == ids["m"] and edges.select("u").join(roots, "u", "left_semi").isEmpty():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        old = [x for x in folders() if x not in before and "/links-" in x]
+        dealt = edges.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+        least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        goal = dealt.select("v", "salt").distinct().join(least, "v", "left").select("v", "salt", F.coalesce("m", "v").alias("m"))
+        large = written(_local_stars(dealt.join(goal, ["v", "salt"]).select("u", F.col("m").alias("v"))), "links")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = written(_local_stars(written(small, "links")), "links")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v")
+        edges = written(_local_stars(small.distinct()), "links")
+        discard(spark, [*old, folders()[-2]])  # nothing reads the earlier steps any more
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -298,20 +334,24 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between different components of one cluster.
 
     In each cluster the component with most members is the main one; the members of others meet every
-    member outside their own component, in blocks of BLOCK sets a side, and only links leave a block (one
-    for each two components that it joins). Clusters of one component drop out, and so do classes that
-    are too different from all others.
+    member outside their own component whose set is of like size (bands of set sizes, each 1 / 0.8 times
+    the one before: a linked pair lies in one band or in two that touch). A band is searched in blocks of
+    about BLOCK_BYTES a side, and only links leave a block (one for each two components that it joins).
+    Clusters of one component drop out, and so do classes that are too different from all others.
     """
     rows = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = rows.filter(_may_reach(F.col("n_shingles"), F.col("u"), F.col("n_shingles"), F.lit(0)))
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int"))
     per = rows.groupBy("cluster", "component").count()
     best = F.max(F.struct("count", "component"))
-    main = per.groupBy("cluster").agg(best.getField("component").alias("main"), F.count("*").alias("parts"), F.sum("count").alias("n"), (F.sum("count") - best.getField("count")).alias("n_rest")).filter("parts > 1")
-    blocks = main.select("cluster", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("bn"), F.ceil(F.col("n_rest") / BLOCK).cast("int").alias("rn"))
-    open_ = rows.select("id", "cluster", "component").join(blocks, "cluster").join(sets.select("id", "shingles"), "id")
-    salt = F.xxhash64("id", F.lit(3))
-    every = open_.select("cluster", F.pmod(salt, "bn").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("rn") - 1)).alias("rest_block"), "id", "component", "shingles")
-    rest = open_.filter("component <> main").select("cluster", F.explode(F.sequence(F.lit(0), F.col("bn") - 1)).alias("block"), F.pmod(salt, "rn").cast("int").alias("rest_block"), "id", "component", "shingles")
+    main = per.groupBy("cluster").agg(best.getField("component").alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("cluster", "main")
+    open_ = written(rows.join(main, "cluster").select("id", "cluster", "component", "band", "n_shingles", (F.col("component") != F.col("main")).alias("is_rest")), "neardup-open")
+    size, key = F.ceil(F.sum(8 * F.col("n_shingles")) / BLOCK_BYTES).cast("int"), ["cluster", "band"]
+    others = open_.filter("is_rest").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    blocks = open_.groupBy(*key).agg(size.alias("bn")).join(others.groupBy(*key).agg(size.alias("rn")), key)
+    salt, held = F.xxhash64("id", F.lit(3)), sets.select("id", "shingles")
+    every = open_.join(blocks, key).join(held, "id").select(*key, F.pmod(salt, "bn").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("rn") - 1)).alias("rest_block"), "id", "component", "shingles")
+    rest = others.join(blocks, key).join(held, "id").select(*key, F.explode(F.sequence(F.lit(0), F.col("bn") - 1)).alias("block"), F.pmod(salt, "rn").cast("int").alias("rest_block"), "id", "component", "shingles")
     rest = rest.select(*[F.col(c).alias(c) for c in rest.columns])
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -325,15 +365,28 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
         out = pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["id"].to_numpy()[j], "ca": x["component"].to_numpy()[i], "cb": y["component"].to_numpy()[j]})
         return out.drop_duplicates(["ca", "cb"])[["a", "b"]]
 
-    key = ["cluster", "block", "rest_block"]
+    key = [*key, "block", "rest_block"]
     return every.groupBy(*key).cogroup(rest.groupBy(*key)).applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
+def node_of() -> Column:
+    """A row's node: its doc_id, or a number from NAMELESS on that stands for its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(NAMELESS))
+
+
+def shared_texts(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from a doc_id that has several texts to the class of each."""
+    several = sketches.filter("digest is not null").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id")
+    rows = sketches.filter("digest is not null").join(several, "doc_id", "left_semi").join(classes.select("digest", "id"), "digest")
+    return rows.filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def groups(docs: DataFrame, size: int) -> DataFrame:
+    """Per row: node (node_of), n_shingles, and component, the smallest node that its node reaches."""
+    docs = docs.select(node_of().alias("doc_id"), "text")
     sketches = written(sketch(docs, size), "neardup-sketches")
     codes = F.concat(*[F.substring("signature", 2 * i + 2, 1) for i in range(PARTS)])
-    classes = sketches.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = sketches.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = written(classes.withColumn("codes", codes), "neardup-classes")
     walked = written(walk_forest(forest_rows(classes)), "neardup-walk")
     ties = walked.filter("b is not null").select("a", "b").unionAll(cut_ties(walked))
@@ -346,13 +399,20 @@ def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
     members = written(sizes.join(u, "id", "left").select("id", "cluster", "n_shingles", F.when(F.col("texts") > 1, 0).otherwise(F.coalesce("u", F.lit(0))).cast("long").alias("u")), "neardup-members")
     a, b = (members.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("u").alias(f"u{c}")) for c in ("a", "b"))
     pairs = walked.filter("candidate").select("a", "b").distinct().join(a, "a").join(b, "b").filter(_may_reach(F.col("na"), F.col("ua"), F.col("nb"), F.col("ub"))).select("a", "b")
-    labels = components(confirm(pairs, sets))
+    labels = components(confirm(pairs, sets).unionAll(shared_texts(sketches, classes)))
     more = written(across(members, labels, sets), "neardup-across")
     if not more.isEmpty():
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
-    own = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(own, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    own = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    out = sketches.select(F.col("doc_id").alias("node"), "n_shingles", "digest").join(own, "digest", "left")
+    return out.select("node", "n_shingles", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept."""
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
+    out = groups(docs, size).select(named("node").alias("doc_id"), "n_shingles", named("component").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
