@@ -3,9 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are written as
 Parquet and read again. All stages but the last return the columns of documents.
 
-Defined results: null and empty texts go in the first stage; rows with a null doc_id that pass the
-filters are kept by the deduplication (they can't be named as a member of a group); repeated rows of one
-doc_id count as copies, and one stays; null sources mix as one source.
+Defined results: null and empty texts go in the first stage; rows of one doc_id are one document, of
+which the row with the smallest text stays, and so are rows without doc_id that have one text (such a
+document stays only if none of its group has a doc_id); null sources mix as one source.
 """
 
 from __future__ import annotations
@@ -36,11 +36,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    kept = neardup.near_duplicates(docs, SHINGLE_WORDS).filter("kept").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS)
-    one = rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(rows.filter("doc_id is null")).select(*COLUMNS)
+    """Keep the document with the smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    kept = neardup.groups(docs, SHINGLE_WORDS).filter("node = component").select(F.col("node").alias("node_")).distinct()
+    rows = docs.select(*COLUMNS).withColumn("node_", neardup.node_of()).join(kept, "node_", "left_semi")
+    return rows.groupBy("node_").agg(F.min(F.struct(*COLUMNS)).alias("row_")).select("row_.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
