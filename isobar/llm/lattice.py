@@ -166,7 +166,10 @@ class Lattice:
             start = stop
 
 
-def reestimate(counts: np.ndarray, in_bytes: float, smooth: float = 0.01) -> UnigramScores:
-    """Log probabilities from expected uses."""
-    total = counts.sum() + in_bytes + smooth * (len(counts) + 1)
-    return UnigramScores(np.log((counts + smooth) / total), float(np.log((in_bytes + smooth) / total)))
+def adapted(own: UnigramScores, counts: np.ndarray, in_bytes: float, share: float) -> UnigramScores:
+    """The vocabulary's own probabilities, ``share`` of which go to the shares of expected uses."""
+    total = counts.sum() + in_bytes
+    if not total:
+        return own
+    mix = lambda p, n: np.log((1 - share) * np.exp(p) + share * n / total)
+    return UnigramScores(mix(own.pieces, counts), float(mix(own.byte, in_bytes)))

@@ -1,11 +1,11 @@
 """Language-model scoring: marginal document probability over all subword segmentations.
 
 A text is its lower-cased words and one end. A word's probability is the sum over all its
-segmentations into pieces of an existing vocabulary; piece probabilities start from the vocabulary's
-own scores and are re-estimated (expected uses over the lattice) on all distinct training words. A
-training word also has an arc of its own from start to end: the arcs of pieces get the share of words
-seen once (what Good and Turing leave for unseen words), the word arcs the rest, by count. Beside it
-goes the add-one word unigram base.
+segmentations into pieces of an existing vocabulary, and a text's is the product over its words, as every
+segmentation of the text is one of each word. The vocabulary's own scores weight the segmentations,
+mixed evenly (ADAPT) with the pieces' expected uses over the lattices of all training words, each as
+often as it occurs. A word follows, or the text ends, by their shares of training tokens. Beside it goes
+the add-one word unigram base.
 
 Words are counted over all texts. The HEAD_WORDS commonest travel to the workers as a broadcast of
 bounded size; every other word of a text meets its count in a join on the word.
@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_is, map_chunks, table, written
-from .lattice import Lattice, UnigramScores, initial_scores, read_vocabulary, reestimate
+from .common import fold_is, give_back, map_batches, map_chunks, table, written
+from .lattice import Lattice, UnigramScores, adapted, initial_scores, read_vocabulary
 from .textstats import encode
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,7 +35,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD_WORDS, HEAD_WORD_BYTES = 300_000, 64
 #: Words held by a counting task before it hands on what it has.
 COUNT_MEMORY = 500_000
-ROUNDS = 3
+#: Rounds of expected uses over the training words, and their share in the pieces' probabilities.
+ROUNDS, ADAPT = 2, 0.5
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -65,8 +66,10 @@ def count_words(docs: DataFrame, trains: str) -> DataFrame:
                     yield from rows()
                     seen, other = Counter(), set()
         yield from rows()
+        seen, other = Counter(), set()
+        give_back()
 
-    return docs.select("text", trains).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(docs.select("text", trains), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _word_blocks(batches, size: int = 50_000):
@@ -77,10 +80,11 @@ def _word_blocks(batches, size: int = 50_000):
             yield part, words
 
 
-def fit_scores(words: DataFrame, pieces: list[str], rounds: int = ROUNDS) -> UnigramScores:
-    """Piece probabilities from all distinct training words; the driver gets one row per piece."""
+def fit_scores(words: DataFrame, pieces: list[str], rounds: int = ROUNDS, adapt: float = ADAPT) -> UnigramScores:
+    """The vocabulary's scores, mixed with uses in all training words; the driver gets one row per piece."""
     spark = words.sparkSession
-    scores, known = initial_scores(len(pieces)), spark.sparkContext.broadcast(pieces)
+    scores = own = initial_scores(len(pieces))
+    known = spark.sparkContext.broadcast(pieces)
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(scores)
 
@@ -88,34 +92,36 @@ def fit_scores(words: DataFrame, pieces: list[str], rounds: int = ROUNDS) -> Uni
             lattice = Lattice(known.value)
             total, in_bytes = np.zeros(lattice.n), 0.0
             for part, texts in _word_blocks(batches):
-                used, more = lattice.expected(texts, np.ones(len(texts)), now.value)
+                used, more = lattice.expected(texts, part.column(1).to_numpy().astype(np.float64), now.value)
                 total += used
                 in_bytes += more
             at = np.nonzero(total > 1e-9)[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], in_bytes), pa.float64())], ["piece", "used"])
+            del lattice
+            give_back()
 
-        got = words.filter("c > 0").select("word", "c").mapInArrow(run, "piece int, used double").groupBy("piece").agg(F.sum("used").alias("used")).toPandas()
+        got = map_batches(words.filter("c > 0").select("word", "c"), run, "piece int, used double").groupBy("piece").agg(F.sum("used").alias("used")).toPandas()
         counts = np.zeros(len(pieces))
         ids, used = got["piece"].to_numpy(), got["used"].to_numpy()
         counts[ids[ids >= 0]] = used[ids >= 0]
-        scores = reestimate(counts, float(used[ids < 0].sum()))
+        scores = adapted(own, counts, float(used[ids < 0].sum()), adapt)
     return scores
 
 
-def add_scores(words: DataFrame, scores: UnigramScores, pieces: list[str], n_words: int, n_once: int, n_docs: int) -> DataFrame:
-    """(word, c, lp): lp is the natural log of the word's marginal probability over all arcs."""
+def add_scores(words: DataFrame, scores: UnigramScores, pieces: list[str], n_words: int, n_docs: int) -> DataFrame:
+    """(word, c, lp): lp is the natural log of the probability that a word follows and is this one."""
     sent = words.sparkSession.sparkContext.broadcast((pieces, scores))
-    new = min(max(n_once, 1) / (n_words + 1), 1.0) if n_words else 1.0
     is_word = np.log((n_words + 1) / (n_words + n_docs + 1))
 
     def run(batches):
         lattice = Lattice(sent.value[0])
         for part, texts in _word_blocks(batches):
-            own = part.column(1).to_numpy() * ((1 - new) / max(n_words, 1))
-            lp = is_word + np.logaddexp(np.log(np.maximum(own, 1e-300)), np.log(new) + lattice.log_probability(texts, sent.value[1]))
+            lp = is_word + lattice.log_probability(texts, sent.value[1])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lp)], ["word", "c", "lp"])
+        del lattice
+        give_back()
 
-    return words.select("word", "c").mapInArrow(run, "word binary, c long, lp double")
+    return map_batches(words.select("word", "c"), run, "word binary, c long, lp double")
 
 
 def score(docs: DataFrame, trains, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -125,10 +131,10 @@ def score(docs: DataFrame, trains, vocabulary: str = VOCABULARY) -> DataFrame:
     rows = docs.select("doc_id", "text", trains.alias("trains"))
     counts = written(count_words(rows, "trains"), "lm-words")
     n_docs = rows.filter("trains").count()
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect()[0]
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()[0]
     n, v = sums["n"] + n_docs, sums["v"] + (n_docs > 0)
     scores = fit_scores(counts, pieces)
-    words = written(add_scores(counts, scores, pieces, sums["n"], sums["once"], n_docs), "lm-scores")
+    words = written(add_scores(counts, scores, pieces, sums["n"], n_docs), "lm-scores")
     is_head = F.octet_length("word") <= HEAD_WORD_BYTES
     head = words.filter(is_head).orderBy(F.desc("c"), "word").limit(HEAD_WORDS).toArrow()
     known = {w: i for i, w in enumerate(head["word"].to_pylist())}
