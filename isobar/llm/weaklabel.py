@@ -5,7 +5,7 @@ the counts of vote patterns of all documents estimates every labeller's vote rat
 class share; the posterior of a text's pattern is its weak label. Posteriors of a bounded, documented
 sample train the hashed linear scorer, which then scores every text.
 
-Defined results: a text without words (null included) scores 0 and is not kept; repeated rows are
+Defined results: posteriors of exactly MIN_SCORE count as good; a text without words (null included) scores 0 and is not kept; repeated rows are
 counted and scored each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -22,7 +22,7 @@ from .common import map_chunks, table
 from .linear import LinearModel, Scorer, train
 from .textstats import duplicate_lines, encode, repeated_words, symbols
 
-#: The scorer is fitted on about this many documents, chosen by hash of doc_id.
+#: The scorer is fitted on at most this many distinct texts, those that hash lowest.
 TRAIN_ROWS = 2_000
 MIN_SCORE = 0.5
 
@@ -79,17 +79,17 @@ class VoteModel:
         return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
 
 
-#: Prior rates of (abstain, junk, good): a labeller knows few kinds of junk but seldom calls good text junk.
+#: Rates of (abstain, junk, good) that the estimation starts from: a labeller knows few kinds of junk but seldom calls good text junk.
 PRIOR = np.array([[0.1, 0.3, 0.6], [0.2, 0.005, 0.795]])
-#: A labeller is taken to call at most this share of good texts junk; it keeps a large kind of junk from passing for good.
-MAX_FALSE_ALARM = 0.004
-#: Weight of the prior in each class, as a share of all texts.
-PRIOR_SHARE = 0.3
+#: The start counts as this many texts of each class in the estimate, whatever the number of texts.
+PRIOR_ROWS = 50
+#: Share of good texts that the estimation starts from.
+GOOD = 0.8
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> VoteModel:
-    """EM from the prior rates, which also stay in the estimate as pseudo-counts, so classes keep their meaning."""
-    model = VoteModel(0.8, np.repeat(PRIOR[None], N_LABELLERS, axis=0))
+    """EM from the prior rates; they stay as a few pseudo-texts, so that no rate is 0."""
+    model = VoteModel(GOOD, np.repeat(PRIOR[None], N_LABELLERS, axis=0))
     if not len(patterns):
         return model
     total = counts.sum()
@@ -99,11 +99,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> Vot
         rates = np.empty_like(model.rates)
         for i in range(N_LABELLERS):
             vote = patterns // 3**i % 3
-            rate = np.stack([np.bincount(vote, w, 3) for w in weight]) + PRIOR * PRIOR_SHARE * total
-            rate /= rate.sum(axis=1, keepdims=True)
-            over = max(0.0, rate[1, 1] - MAX_FALSE_ALARM)
-            rates[i] = rate + np.array([[0, 0, 0], [0, -over, over]])
-        model = VoteModel(float((weight[1].sum() + 8) / (total + 10)), rates)
+            rate = np.stack([np.bincount(vote, w, 3) for w in weight]) + PRIOR * PRIOR_ROWS
+            rates[i] = rate / rate.sum(axis=1, keepdims=True)
+        model = VoteModel(float((weight[1].sum() + GOOD * PRIOR_ROWS) / (total + PRIOR_ROWS)), rates)
     return model
 
 
@@ -115,8 +113,10 @@ class WeakModel:
     scorer: LinearModel
 
 
-def _vote_chunks(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def _vote_chunks(docs: DataFrame, keep: tuple[str, ...] = (), model: VoteModel | None = None) -> DataFrame:
+    """The ``keep`` columns, pattern (-1 without words), and with a model its posterior as target."""
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) if keep else ""
+    more = ", target double" if model else ""
 
     def make():
         def run(chunk):
@@ -126,26 +126,27 @@ def _vote_chunks(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 numbers: dict[bytes, int] = {}
                 ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
                 out.append(pattern_of(votes(text, words, ids)) if words else -1)
-            return {**{c: chunk[c] for c in keep}, "pattern": out}
+            target = {"target": model.posterior(np.maximum(out, 0))} if model else {}
+            return {**{c: chunk[c] for c in keep}, "pattern": out, **target}
 
         return run
 
-    return map_chunks(docs, list(dict.fromkeys([*keep, "text"])), types + "pattern int", make)
+    return map_chunks(docs, list(dict.fromkeys([*keep, "text"])), types + "pattern int" + more, make)
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> WeakModel:
-    """Vote rates from all rows; the scorer from about ``train_rows`` of them (the documented bound)."""
+    """Vote rates from all rows; the scorer from at most ``train_rows`` distinct texts (the documented bound)."""
     counted = _vote_chunks(docs).filter("pattern >= 0").groupBy("pattern").count().toPandas()  # at most 3^labellers rows
     rates = estimate(counted["pattern"].to_numpy(np.int64), counted["count"].to_numpy(np.float64))
     total = max(1, int(counted["count"].sum()))
-    known = F.create_map(*[F.lit(x) for p, q in zip(counted["pattern"], rates.posterior(counted["pattern"].to_numpy(np.int64)), strict=True) for x in (int(p), float(q))]) if len(counted) else None
-    share = min(1.0, train_rows / total)
-    drawn = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 24)) < share * (1 << 24))
-    if known is None:
+    if not len(counted):
         return WeakModel(rates, LinearModel(np.zeros(1 << 16), 1.0, 1.0))
-    drawn = _vote_chunks(drawn, ("doc_id", "text")).filter("pattern >= 0")
-    drawn = drawn.withColumn("target", known[F.col("pattern")]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(10)).cast("int"))
-    return WeakModel(rates, train(drawn, "target"))
+    share = min(1.0, 1.5 * train_rows / total)  # so that copies leave enough texts, and few reach the ordering
+    h = F.xxhash64(F.lit(10), "text")
+    drawn = docs.select("text", h.alias("h")).filter(F.pmod("h", F.lit(1 << 24)) < share * (1 << 24))
+    drawn = drawn.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(train_rows)
+    drawn = _vote_chunks(drawn, ("h", "text"), rates).filter("pattern >= 0")
+    return WeakModel(rates, train(drawn.withColumn("fold", F.pmod(F.xxhash64("h", F.lit(11)), F.lit(10)).cast("int")), "target"))
 
 
 def score(docs: DataFrame, model: WeakModel, keep: tuple[str, ...] = ("doc_id",), min_score: float = MIN_SCORE) -> DataFrame:
