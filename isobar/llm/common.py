@@ -15,8 +15,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 CHUNK_CHARS = 2_000_000
 #: Bytes of an Arrow batch on its way to a worker, set where the session has Spark's own default (a memory bound only).
 BATCH_BYTES, DEFAULT_BATCH_BYTES = 8 << 20, 64 << 20
-#: Distinct words a worker remembers between chunks; beyond it the memory starts anew (a speed bound, not a result bound).
-WORD_MEMORY = 300_000
+#: Distinct words, and bytes of their rows, that a worker remembers between chunks; beyond it the memory starts anew (a speed bound, not a result bound).
+WORD_MEMORY, ROW_MEMORY = 300_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,7 +103,7 @@ class WordRows(dict):
         return n
 
     def lookup(self, words: list) -> np.ndarray:
-        if len(self) > WORD_MEMORY:
+        if len(self) > min(WORD_MEMORY, ROW_MEMORY // self.rows[:1].nbytes):
             self.clear()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:

@@ -24,8 +24,8 @@ GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 #: Fitted on at most about this many texts of each language, chosen by hash of doc_id.
 TEXTS_PER_LANGUAGE = 2_000
-#: The most frequent labels that are learned; the table of scores grows with their number.
-MAX_LANGUAGES = 256
+#: Up to this many languages the score table has BUCKETS rows; each doubling beyond halves them, down to LEAST_BUCKETS.
+WIDE_LANGUAGES, LEAST_BUCKETS = 256, 1 << 12
 SWITCH_PENALTY = 16.0
 #: A language uses a script if at least this share of its letters is in it.
 SCRIPT_SHARE = 0.01
@@ -69,7 +69,7 @@ class LanguageModel:
         bits, letters = _script_bits(words)
         out = np.zeros((len(words), len(self.langs) + 1))
         for h, starts in word_grams(words, GRAMS):
-            s = self.scores[(h % BUCKETS).astype(np.int64)]
+            s = self.scores[(h % len(self.scores)).astype(np.int64)]
             s[h == 0] = 0
             out[:, :-1] += np.add.reduceat(s, starts, axis=0)
         out[:, :-1] /= len(GRAMS)
@@ -84,17 +84,20 @@ class LanguageModel:
 def fit(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of these rows (all are training rows).
 
-    The classifier is fitted on a bounded sample: about ``texts_per_language`` texts of each of the
-    MAX_LANGUAGES most frequent labels. Gram counts are summed on the executors; the driver receives
-    one row per language and bucket.
+    The classifier is fitted on a bounded sample: about ``texts_per_language`` texts of every label. Gram
+    counts are summed on the executors; the driver receives one row per language and bucket, and the
+    buckets shrink as labels grow, so their product stays bounded.
     """
     rows = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return LanguageModel([], np.zeros(0, np.uint32), np.zeros((BUCKETS, 0)))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, texts_per_language / r["count"]))])
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20))
+    buckets = BUCKETS
+    while buckets > LEAST_BUCKETS and buckets * len(langs) > BUCKETS * WIDE_LANGUAGES:
+        buckets //= 2
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, texts_per_language / r["count"])) for r in sizes], "lang string, share double")
+    drawn = rows.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("share") * (1 << 20))  # a row per label
 
     def make():
         def count(chunk):
@@ -107,10 +110,10 @@ def fit(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE) -> Langua
                 unique = unique.tolist()
                 bits, letters = _script_bits(unique)
                 kept = letters > 0
-                total = np.zeros(BUCKETS)
+                total = np.zeros(buckets)
                 for h, starts in word_grams(unique, GRAMS):
                     weight = np.repeat(times * kept, np.diff(np.append(starts, len(h))))
-                    total += np.bincount((h % BUCKETS).astype(np.int64), weight * (h > 0), BUCKETS)
+                    total += np.bincount((h % buckets).astype(np.int64), weight * (h > 0), buckets)
                 at = np.nonzero(total)[0]
                 for i in range(len(SCRIPT_NAMES)):  # negative buckets: letters by script
                     out["lang"].append(lang)
@@ -124,7 +127,7 @@ def fit(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE) -> Langua
         return count
 
     counted = map_chunks(drawn, ["lang", "text"], "lang string, bucket int, n double", make).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    n, letters = np.zeros((BUCKETS, len(langs))), np.zeros((len(SCRIPT_NAMES), len(langs)))
+    n, letters = np.zeros((buckets, len(langs))), np.zeros((len(SCRIPT_NAMES), len(langs)))
     col = counted["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)
     bucket, value = counted["bucket"].to_numpy(), counted["n"].to_numpy()
     n[bucket[bucket >= 0], col[bucket >= 0]] = value[bucket >= 0]
@@ -132,8 +135,8 @@ def fit(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE) -> Langua
     used = letters >= np.maximum(SCRIPT_SHARE * letters.sum(axis=0), 1)
     scripts = (used * (1 << np.arange(len(SCRIPT_NAMES)))[:, None]).sum(axis=0).astype(np.uint32)
     smooth = 0.5
-    scores = np.log((n + smooth) / (n.sum(axis=0) + smooth * BUCKETS))
-    return LanguageModel(langs, scripts, scores - scores.mean(axis=1, keepdims=True))
+    scores = np.log((n + smooth) / (n.sum(axis=0) + smooth * buckets))
+    return LanguageModel(langs, scripts, (scores - scores.mean(axis=1, keepdims=True)).astype(np.float32))
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
