@@ -1,8 +1,8 @@
 """Quality rules: exact base counts and a hashed logistic regression learned from labelled rows.
 
 Defined results: null or empty texts have zero words and fail the base rule; rows with equal texts get
-equal results; null labels teach nothing; several labels of one document each count as a row; with no
-usable label the probability is the constant 0.5 and the base rule decides alone.
+equal results; null labels teach nothing; a document teaches once per label it has, by the smallest of its
+texts; probabilities of exactly MIN_PROBABILITY count as kept; with no usable label the probability is the constant 0.5 and the base rule decides alone.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lin
     """Learn P(quality = 1) from a bounded sample of labelled rows."""
     drawn = hashed_sample(labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality"), "doc_id", train_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most train_rows short rows
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     return train(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)).cast("int")), "quality")
 
 

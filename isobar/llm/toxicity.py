@@ -6,7 +6,8 @@ ordinary length that the toxic dictionary saves is the window's distance. Calibr
 turn windows into hits, and a calibrated line turns a text's hits into a probability.
 
 Defined results: null and empty texts have no window and get the score of a text without hits; null
-labels teach nothing; several labels of one document each count as a row; repeated rows get equal
+labels teach nothing; a document teaches once per class it is labelled with, by the smallest of its
+texts; scores of exactly 0.5 count as toxic; repeated rows get equal
 results; without a toxic (or ordinary) training row every score is the share of toxic rows, or 0.
 """
 
@@ -95,6 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
         return ToxicityModel(b"", b"", 1, -30.0 if 0 in sizes or not sizes else 30.0, 0.0)
     drawn = hashed_sample(known.filter("toxic = 1"), "doc_id", rows_per_class).unionAll(hashed_sample(known.filter("toxic = 0"), "doc_id", rows_per_class))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most 2 * rows_per_class short rows
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).cast("int"))
 
     def make_words():
@@ -125,20 +127,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
         far = Distance(*contents)
 
         def run(chunk):
-            out = {"toxic": chunk["toxic"], "distance": []}
-            for text in chunk["text"]:
-                out["distance"].append(np.sort(far(windows_of(text))[:, 0])[::-1][:64].astype(np.int32))
-            return out
+            found = [far(windows_of(text))[:, 0] for text in chunk["text"]]
+            return {"toxic": chunk["toxic"], "hits": [[int((d >= t).sum()) for t in THRESHOLDS] for d in found]}
 
         return run
 
-    seen = map_chunks(rows.filter("half = 1"), ["text", "toxic"], "toxic int, distance array<int>", make_hits).collect()
+    seen = map_chunks(rows.filter("half = 1"), ["text", "toxic"], "toxic int, hits array<int>", make_hits).collect()
     y = np.array([r["toxic"] for r in seen], np.float64)
     weight = np.where(y == 1, sizes[1] / max(1, y.sum()), sizes[0] / max(1, len(y) - y.sum()))  # back to the labelled proportions
     weight *= len(y) / max(weight.sum(), 1e-9)
     best = (np.inf, 1, -5.0, 5.0)
-    for threshold in THRESHOLDS:
-        hits = np.array([sum(d >= threshold for d in r["distance"]) for r in seen], np.float64)
+    for k, threshold in enumerate(THRESHOLDS):
+        hits = np.array([r["hits"][k] for r in seen], np.float64)
         loss, bias, slope = _line(np.log1p(hits), y, weight)
         best = min(best, (loss, threshold, bias, slope))
     return ToxicityModel(*contents, best[1], best[2], best[3])
