@@ -11,13 +11,17 @@ chunked framing decoded, and the payload's digest is computed again and compared
 Defined results: a null html is an empty payload; a null page_id never has a larger one beside it that
 would be null, and is written as 'null' (a response unless an equal payload has a page_id); rows with the
 same page_id and payload as the response are responses too; null urls are empty; extra columns are
-ignored. A missing segment, a wrong total or a wrong digest gives ``intact`` false, never a crash.
+ignored. A missing segment, a wrong or malformed total, a wrong digest, or a revisit that names no
+response or digest gives ``intact`` false. Foreign records (another kind, no identifier, or a segment
+number that isn't one) are left out. An archive holds at most RECORDS_PER_FILE records of SEGMENT_BYTES
+and their heads.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 
 import pyarrow as pa
@@ -157,16 +161,26 @@ def parse(content: bytes):
         at = end + 4 + size
 
 
+def _page_of(ident: str) -> int | None:
+    """The page_id in a record's identifier."""
+    parts = ident.strip("<>").split(":")
+    return int(parts[2]) if len(parts) > 2 and re.fullmatch(r"-?[0-9]{1,19}", parts[2]) else None
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value and re.fullmatch("[0-9]{1,18}", value) else None
+
+
 def _result(fields: dict, block: bytes) -> dict:
     """What a complete response or revisit says."""
     head, _, body = block.partition(_END)
     http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
     said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    page = fields["warc-record-id"].strip("<>").split(":")
-    out = {"page_id": int(page[2]) if len(page) > 2 and page[2].lstrip("-").isdigit() else None, "record_type": fields["warc-type"], "url": fields.get("warc-target-uri"), "refers_to": None}
+    page, refers = (_page_of(fields.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
+    out = {"page_id": page, "record_type": fields["warc-type"], "url": fields.get("warc-target-uri"), "refers_to": None}
     if fields["warc-type"] == "revisit":
-        refers = fields.get("warc-refers-to", "").strip("<>").split(":")
-        return out | {"payload_bytes": int(http.get(b"content-length", b"0")), "payload_digest": said, "refers_to": int(refers[2]), "payload": None, "intact": True}
+        size = http.get(b"content-length", b"")
+        return out | {"payload_bytes": int(size) if size.isdigit() else None, "payload_digest": said, "refers_to": refers, "payload": None, "intact": refers is not None and bool(said) and size.isdigit()}
     payload = dechunked(body) if http.get(b"transfer-encoding", b"").lower() == b"chunked" else body
     digest = base32_sha1(payload or b"")
     return out | {"payload_bytes": len(payload or b""), "payload_digest": digest, "payload": payload, "intact": payload is not None and digest == said}
@@ -192,13 +206,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
             for content in batch.column(0):
                 for fields, block in parse(content.as_buffer().to_pybytes()):
                     kind, number = fields.get("warc-type"), fields.get("warc-segment-number")
+                    if "warc-record-id" not in fields or number is not None and not 0 < (_number(number) or 0) < 1 << 31:
+                        continue
                     if kind in ("response", "revisit") and number is None:
                         done = _result(fields, block)
                         rows.append({"origin": fields["warc-record-id"]} | {k: done[k] for k in names})
                     elif kind in ("response", "continuation") and number is not None:
-                        head = "\n".join(f"{k}: {v}" for k, v in fields.items()) if number == "1" else None
-                        total = fields.get("warc-segment-total-length")
-                        rows.append({"origin": fields.get("warc-segment-origin-id") or fields["warc-record-id"], "number": int(number), "total": int(total) if total else None, "head": head, "block": block})
+                        head = "\n".join(f"{k}: {v}" for k, v in fields.items()) if int(number) == 1 else None
+                        rows.append({"origin": fields.get("warc-segment-origin-id") or fields["warc-record-id"], "number": int(number), "total": _number(fields.get("warc-segment-total-length")), "head": head, "block": block})
                     held += len(block)
                     if held > 4_000_000:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
