@@ -182,6 +182,21 @@ def test_archives_of_odd_pages(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_foreign_and_broken_records_do_not_stop_the_reading(spark, tmp_path):
+    good = warc.page_records(5, "http://a", b"x" * 3000, None, "u", segment=1000)
+    foreign = [
+        warc.record("revisit", "urn:pages:6:u", [("WARC-Payload-Digest", "sha1:A")], b"HTTP/1.1 200 OK\r\n\r\n"),
+        warc.record("response", "urn:pages:7:u", [("WARC-Segment-Number", "one")], b"x"),
+        warc.record("continuation", "urn:pages:8:u:2", [("WARC-Segment-Origin-ID", "<urn:pages:8:u>"), ("WARC-Segment-Number", "2"), ("WARC-Segment-Total-Length", "many")], b"x"),
+        b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\nx",
+        warc.record("warcinfo", "urn:info", [], b"software"),
+        warc.record("response", "no colon", [], b"not http"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in [*foreign, *good]))
+    got = {(r["page_id"], r["record_type"], r["intact"]) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert got == {(5, "response", True), (6, "revisit", False), (None, "response", False)}
+
+
 def brute_neighbours(rows, k):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}

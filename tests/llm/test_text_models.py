@@ -54,6 +54,17 @@ def test_language_spans_scripts_and_odd_rows(spark):
     assert langid.label(mixed, langid.fit(train.limit(0))).first()["lang_pred"] == "und"
 
 
+def test_every_label_is_learned(spark):
+    rng = np.random.default_rng(5)
+    names = [f"l{i:03}" for i in range(300)]
+    own = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(6)] for n in names}
+    rows = [(i, " ".join(own[n]), n, "s", 1) for i, n in enumerate(names)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS))
+    assert model.langs == names and len(model.scores) == langid.BUCKETS // 2
+    got = langid.label(spark.createDataFrame(rows, DOCS).select("doc_id", "text"), model).collect()
+    assert np.mean([r["lang_pred"] == names[r["doc_id"]] for r in got]) >= 0.99
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(0)
     for _ in range(30):
@@ -84,6 +95,13 @@ def test_toxic_wording_is_found_and_clean_texts_left_alone(spark):
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     held = [i for i in range(400) if i % 4 == 0]
     assert np.mean([got[i]["predicted"] == labels[i][2] for i in held]) >= 0.97
+    far = toxicity.Distance(model.toxic, model.ordinary)
+    for i, text, *_ in rows[:40]:  # one window at a time, without the workers' memory
+        hits = sum(int(far([w])[0, 0]) >= model.threshold for w in toxicity.windows_of(text))
+        assert (got[i]["hits"], got[i]["windows"]) == (hits, 60)
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(model.bias + model.slope * math.log1p(hits)))))
+    long = spark.createDataFrame([(1, " ".join(r[1] for r in rows if r[0] % 5) * 3, "en", "s", 1)], DOCS)
+    assert toxicity.score(long, model).first()["predicted"] == 0
     odd = toxicity.score(odd_rows(spark), model).collect()
     assert len(odd) == 8 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in odd)
     assert toxicity.score(docs.limit(0), model).count() == 0
@@ -116,6 +134,39 @@ def test_lattice_sums_all_segmentations():
     assert lattice.Lattice(pieces).log_probability(["é"], scores)[0] == pytest.approx(math.log(p["▁"]) + 2 * (math.log(1e-3) - math.log(256)))
 
 
+def test_lm_scores_against_all_segmentations(spark, monkeypatch):
+    pieces = ["▁", "a", "b", "ab", "▁a", "▁ab", "ba", "bab"]
+    monkeypatch.setattr(lm, "read_vocabulary", lambda path: pieces)
+    rows = [(i, t) for i, t in enumerate(["ab AB bab", "a b abba", "bb", "", None, "ab ab", "é a"])]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 4).collect()}
+    own = lattice.initial_scores(len(pieces))
+    p, byte = dict(zip(pieces, np.exp(own.pieces), strict=True)), math.exp(own.byte)
+    train = Counter(w for _, t in rows[:4] for w in t.lower().split())
+
+    def ways(w):  # every segmentation of a word over these letters
+        w = lattice.MARK + w
+        def cut(i):
+            return [[]] if i == len(w) else [[w[i:j], *rest] for j in range(i + 1, len(w) + 1) if w[i:j] in p for rest in cut(j)]
+        return cut(0)
+
+    for _ in range(lm.ROUNDS):
+        used = Counter()
+        for w, c in train.items():
+            weights = [math.prod(q[x] for x in s) for s in ways(w)] if (q := p) else []
+            for s, v in zip(ways(w), weights, strict=True):
+                for x in s:
+                    used[x] += c * v / sum(weights)
+        p = {x: (1 - lm.ADAPT) * math.exp(v) + lm.ADAPT * used[x] / sum(used.values()) for x, v in zip(pieces, own.pieces, strict=True)}
+    byte = (1 - lm.ADAPT) * byte
+    n, docs = sum(train.values()), 4
+    for i, t in rows:
+        want = math.log10((docs + 1) / (n + docs + 1))
+        for w in (t or "").lower().split():
+            whole = p["▁"] * (byte / 256) ** 2 if w == "é" else sum(math.prod(p[x] for x in s) for s in ways(w))
+            want += math.log10((n + 1) / (n + docs + 1)) + math.log10(whole)
+        assert got[i] == pytest.approx(want), i
+
+
 def brute_base(rows):
     train = Counter()
     for i, text in rows:
@@ -147,7 +198,8 @@ def test_lm_prefers_texts_like_its_training(spark):
     docs = documents(spark).select("doc_id", "text").limit(150).collect()
     rows = [(r["doc_id"], r["text"]) for r in docs] + [(10_000_002, "zq xj qv wzk jjx qqz vvx")]
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 10_000_000).collect()
-    rate = {r["doc_id"]: r["score"] / r["n_tokens"] for r in got}
+    size = {i: len((t or "").encode()) + 1 for i, t in rows}  # per byte: a lattice charges a long word for every piece
+    rate = {r["doc_id"]: r["score"] / size[r["doc_id"]] for r in got}
     assert rate[10_000_002] < min(v for k, v in rate.items() if k < 10_000_000)
 
 
@@ -205,6 +257,28 @@ def test_em_finds_labeller_accuracies():
     assert (said == good).mean() > 0.97
 
 
+def test_em_rates_follow_the_votes_and_not_the_start():
+    """Labellers with rates far from the start: the estimates come out as they were drawn."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    good = rng.uniform(size=n) < 0.7
+    hit = rng.uniform(0.5, 0.9, weaklabel.N_LABELLERS)
+    alarm = rng.uniform(0.01, 0.2, weaklabel.N_LABELLERS)
+    junk = rng.uniform(size=(n, len(hit))) < np.where(good[:, None], alarm, hit)
+    patterns, counts = np.unique([weaklabel.pattern_of(v) for v in (1 - junk).tolist()], return_counts=True)
+    model = weaklabel.estimate(patterns, counts.astype(float))
+    assert np.abs(model.rates[:, 0, 1] - hit).max() < 0.03 and np.abs(model.rates[:, 1, 1] - alarm).max() < 0.03
+    assert abs(model.good - 0.7) < 0.02
+
+
+def test_sample_of_copies_without_doc_id_stays_bounded(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(weaklabel, "train", lambda sample, target: drawn.append(sample.collect()))
+    texts = ["the same text again"] * 500 + [f"a text of number {i}" for i in range(400)]
+    weaklabel.fit(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"), 100)
+    assert 30 < len(drawn[0]) <= 100 and len({r["text"] for r in drawn[0]}) == len(drawn[0])
+
+
 def test_weak_labels_agree_with_quality_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
