@@ -8,6 +8,7 @@ another seed, document or copy gives other cuts. Characters outside the vocabula
 
 A unit is a run of blanks with the run of non-blank characters after it; no piece spans two units, nor
 a line feed or a tab, so units' agendas are run once per worker and set of skipped merges, and remembered.
+Units of more than HEAP characters run theirs on a heap, in time linear-log in their length.
 
 Defined results: a null text encodes to null ids (and decodes to null), an empty one to no ids; rows
 of one doc_id, copy and text get equal ids (null doc_ids count as one); surrogates survive as bytes; extra columns are ignored.
@@ -15,6 +16,7 @@ of one doc_id, copy and text get equal ids (null doc_ids count as one); surrogat
 
 from __future__ import annotations
 
+import heapq
 import re
 from dataclasses import dataclass
 from itertools import repeat
@@ -34,8 +36,20 @@ UNIT_MEMORY = 400_000
 DEPTH, LONG = 3, 24
 #: Depths that stand for units met once (run when met again), and for long ones (never remembered).
 ONCE, ALWAYS = 100, 101
+#: Characters beyond which a unit's agenda is a heap instead of a row among others (speed only).
+HEAP = 512
+_LOW, _ALL = (1 << 20) - 1, (1 << 64) - 1
 NO_MERGE = np.uint64(0xFFFFFFFFFFFFFFFF)
 MARK = "▁"
+
+
+def _mixed(x: int) -> int:
+    """mix64 of one number."""
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _ALL
+    return x ^ x >> 31
+
+
 _UNITS = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 
 
@@ -70,7 +84,7 @@ class Encoder:
         self.single[" "] = self.single.pop(MARK)  # a blank takes the mark's place; the mark itself is spelt in bytes
         self.code = np.full(0x110000, -1, np.int32)
         self.code[[ord(c) for c in self.single]] = list(self.single.values())
-        ids = {p: i for i, p in enumerate(vocab.pieces) if p}
+        self.numbers = ids = {p: i for i, p in enumerate(vocab.pieces) if p}
         left, right, out = [], [], []
         for p, i in ids.items():
             for k in range(1, len(p)):
@@ -217,7 +231,12 @@ class Encoder:
     def _run(self, numbers: np.ndarray, salt: np.ndarray | None = None) -> None:
         """Run the agenda of nodes, each with its skipped merges, or under its salt."""
         units = [self.texts[k] for k in self.root[numbers].tolist()]
-        order = np.argsort(np.fromiter(map(len, units), np.int64, len(units)), kind="stable")
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(sizes, kind="stable")
+        if salt is not None and len(units):
+            for k in np.flatnonzero(sizes > HEAP).tolist():
+                self._store(numbers[k : k + 1], self._on_heap(units[k], int(salt[k]))[None, :])
+            order = order[sizes[order] <= HEAP]
         start = 0
         while start < len(order):  # like lengths together, so padding is small
             stop = min(len(order), start + 8192)
@@ -227,6 +246,39 @@ class Encoder:
             self._encode([units[k] for k in part], numbers[part], None if salt is None else salt[part])
             start = stop
 
+    def _on_heap(self, unit: str, salt: int) -> np.ndarray:
+        """The ids of one long unit under its salt: the same agenda, best rank first and leftmost on ties."""
+        sym = np.array(self._symbols(unit), np.int64)
+        n, limit, pieces = len(sym), int(self.limit), self.vocab.pieces
+        ranks, number = self.vocab.ranks, self.numbers
+        made = self._merge(sym[:-1], sym[1:])
+        at = np.flatnonzero(made >= 0)
+        b, u = at.astype(np.uint64), np.uint64
+        high = mix64((b >> u(20)) << u(32) | (b + u(2)) >> u(20))
+        key = ((b & u(_LOW)) << u(40)) ^ (((b + u(2)) & u(_LOW)) << u(20)) ^ made[at].astype(np.uint64) ^ high
+        at = at[mix64(u(salt) ^ mix64(key)) >= self.limit]
+        # (rank, begin, middle, end, piece) of every candidate; one whose parts are gone is passed over
+        heap = list(zip(ranks[made[at]].tolist(), at.tolist(), (at + 1).tolist(), (at + 2).tolist(), made[at].tolist(), strict=True))
+        heapq.heapify(heap)
+        sym, ends, before = sym.tolist(), list(range(1, n + 1)), list(range(-1, n))
+        while heap:
+            _, begin, middle, end, piece = heapq.heappop(heap)
+            if sym[begin] < 0 or ends[begin] != middle or sym[middle] < 0 or ends[middle] != end:
+                continue
+            sym[begin], sym[middle], ends[begin], before[end] = piece, -1, end, begin
+            for x, y in ((before[begin], begin), (begin, end)):
+                if x < 0 or y >= n:
+                    continue
+                p, q = pieces[sym[x]], pieces[sym[y]]
+                new = number.get(p + q, -1) if p and q else -1
+                if new < 0:
+                    continue
+                z = ends[y]
+                key = (x & _LOW) << 40 ^ (z & _LOW) << 20 ^ new ^ _mixed((x >> 20) << 32 | z >> 20)
+                if _mixed(salt ^ _mixed(key)) >= limit:
+                    heapq.heappush(heap, (float(ranks[new]), x, y, z, new))
+        return np.array([s for s in sym if s >= 0], np.int32)
+
     def _skipped(self, numbers: np.ndarray) -> np.ndarray:
         """The merges that each node skips, a row per node."""
         out = []
