@@ -1,10 +1,11 @@
 """Nearest neighbours through learned partitions.
 
 A bounded sample is joined into a neighbour graph, and the graph is cut into balanced partitions so that
-neighbours stay together. A small classifier learns the partition of a vector; it deals every vector of
-the table into its most probable partition and routes each query to the several most probable ones (up to
-a share of probability that is set for a target recall on held-out vectors), where all vectors are
-compared and the best reranked by exact distance.
+neighbours stay together; their number grows with the table. A small classifier learns the partition of a
+vector, with offsets that deal the sample evenly; it deals every vector of the table into its most
+probable partition and routes each query to the several most probable ones (up to a share of probability
+that is set for a target recall on held-out vectors), where all vectors are compared and the best reranked
+by exact distance. ``visited`` tells which share of the table the queries search.
 
 Partitions are searched in blocks of bounded size (a block of vectors against a block of the queries
 routed to the partition), so neither a crowded partition nor many queries make a large task.
@@ -24,13 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-#: The index is fitted on at most this many vectors, those whose vec_id hashes lowest.
-SAMPLE = 4_096
-PARTITIONS, GRAPH_NEIGHBOURS, HIDDEN = 16, 20, 64
+#: The index is fitted on this many vectors of each partition, and SAMPLE at least, those whose vec_id hashes lowest.
+SAMPLE, SAMPLE_PER_PARTITION = 4_096, 16
+#: A partition for so many rows; never fewer than LEAST nor more than MOST, which bound the sample and the classifier.
+PARTITION_ROWS, LEAST, MOST = 2_048, 16, 512
+GRAPH_NEIGHBOURS, HIDDEN = 20, 64
 #: Recall that the routed share of probability is set for, on a fifth of the sample kept from the fit.
-TARGET_RECALL = 0.95
+TARGET_RECALL = 0.93
 BLOCK_ROWS = 4_096
 K = 10
 
@@ -145,12 +148,29 @@ def fit_router(x: np.ndarray, label: np.ndarray, parts: int, graph: np.ndarray,
     return Router(mean, scale, *p)
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTITIONS) -> Router | None:
+def balance(router: Router, x: np.ndarray, rounds: int = 60) -> None:
+    """Shift the classifier's offsets until these vectors fall evenly into its partitions."""
+    o = router.logits(x)
+    mean, step = len(x) / o.shape[1], float(o.std())
+    best = (np.inf, router.b2)
+    for k in range(rounds):
+        size = np.bincount(o.argmax(axis=1), minlength=o.shape[1])
+        if size.max() < best[0]:
+            best = (size.max(), router.b2 + (shift if k else 0.0))
+        by = -step / (4 + k) * np.log((size + 1) / (mean + 1))
+        shift = by if not k else shift + by
+        o = o + by
+    router.b2 = best[1]
+
+
+def fit(vectors: DataFrame, sample: int | None = None, parts: int | None = None) -> Router | None:
     """Fit on a bounded sample of usable vectors (vec_id, embedding); None without any."""
     size = vectors.filter(usable("embedding")).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if size is None:
         return None
     good = vectors.filter(usable("embedding", size["n"]))
+    parts = parts or min(MOST, max(LEAST, -(-size["count"] // PARTITION_ROWS)))
+    sample = sample or max(SAMPLE, SAMPLE_PER_PARTITION * parts)
     drawn = good.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(sample).toPandas()
     x = np.array(drawn["embedding"].tolist(), np.float64)
     parts = max(1, min(parts, len(x) // 8))
@@ -160,6 +180,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTITIONS) -> Ro
     seen, unseen = x[held:], x[:held]
     graph = neighbour_graph(seen, GRAPH_NEIGHBOURS)
     router = fit_router(seen, balanced_partitions(graph, seen, parts), parts, graph)
+    balance(router, x)
     if held:  # neighbours are farther apart in the sample than in the table, so this errs to more partitions
         near = np.argpartition(squared_distances(unseen, seen), K - 1, axis=1)[:, :K]
         part, order = router.routes(seen)[0][:, 0], router.routes(unseen)[0]
@@ -189,7 +210,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, router: Router | Non
                 pdf["routes"] = [r[:m].astype(np.int32) for r, m in zip(order, n, strict=True)]
                 yield pdf
 
-    dealt = rows.mapInPandas(deal, f"vec_id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, is_query boolean, routes array<int>")
+    dealt = written(rows.mapInPandas(deal, f"vec_id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, is_query boolean, routes array<int>"), "ann-dealt")
     every = range(len(router.b2))
     sizes = {r["p"]: r["n"] for r in dealt.groupBy(F.col("routes")[0].alias("p")).agg(F.count("*").alias("n")).collect()}
     held = F.create_map(*[F.lit(x) for p in every for x in (p, sizes.get(p, 0))])
@@ -231,6 +252,24 @@ def search(vectors: DataFrame, queries: Column, k: int = K, router: Router | Non
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def visited(vectors: DataFrame, queries: Column, router: Router) -> tuple[float, float]:
+    """(share of the table that a query searches on average, largest partition over the mean)."""
+    sent, size = vectors.sparkSession.sparkContext.broadcast(router), len(router.mean)
+    rows = vectors.filter(usable("embedding", size)).select("embedding", F.coalesce(queries, F.lit(False)).alias("is_query"))
+
+    def deal(batches):
+        for pdf in batches:
+            if len(pdf):
+                order, n = sent.value.routes(np.array(pdf["embedding"].tolist(), np.float64))
+                home = pd.DataFrame({"part": order[:, 0], "rows": 1, "asked": 0})
+                asks = [pd.DataFrame({"part": r[:m], "rows": 0, "asked": 1}) for r, m, q in zip(order, n, pdf["is_query"], strict=True) if q]
+                yield pd.concat([home, *asks]).groupby("part", as_index=False).sum()
+
+    got = rows.mapInPandas(deal, "part int, rows long, asked long").groupBy("part").agg(F.sum("rows").alias("n"), F.sum("asked").alias("q")).toPandas()
+    asked = vectors.filter(usable("embedding", size) & F.coalesce(queries, F.lit(False))).count()
+    return float((got["n"] * got["q"]).sum() / (got["n"].sum() * max(1, asked))), float(got["n"].max() * len(router.b2) / got["n"].sum())
+
+
 def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every hundredth vector."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

@@ -197,11 +197,11 @@ def test_foreign_and_broken_records_do_not_stop_the_reading(spark, tmp_path):
     assert got == {(5, "response", True), (6, "revisit", False), (None, "response", False)}
 
 
-def brute_neighbours(rows, k):
+def brute_neighbours(rows, k, every=100):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
     for i, q in good:
-        if i % 100 == 0:
+        if i % every == 0:
             d = sorted((math.sqrt(((q - v) ** 2).sum()), j) for j, v in good if j != i)
             out[i] = [(j, s) for s, j in d[:k]]
     return out
@@ -224,6 +224,31 @@ def test_neighbour_recall_and_exact_scores(spark):
     assert all(sorted(f) == list(range(1, 11)) for f in found.values())
 
 
+def test_recall_and_balance_on_the_table(spark):
+    """Directions of these vectors are spread evenly, so routing can spare little of the table; recall must hold."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    router = ann.fit(vectors)
+    got = ann.search(vectors, F.col("vec_id") % 20 == 0, router=router).collect()
+    want = {q: {j for j, _ in near} for q, near in brute_neighbours([(r["vec_id"], r["embedding"]) for r in vectors.collect()], 10, 20).items()}
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in got) >= 0.9 * 10 * len(want)
+    share, largest = ann.visited(vectors, F.col("vec_id") % 20 == 0, router)
+    print("visited", share, "largest partition over the mean", largest)
+    assert share < 1 and largest < 2
+
+
+def test_clustered_vectors_are_searched_in_part(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 3, (40, 16))
+    rows = [(i, [float(x) for x in np.float32(centres[i % 40] + rng.normal(0, 1, 16))]) for i in range(8000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    router = ann.fit(vectors)
+    share, largest = ann.visited(vectors, F.col("vec_id") % 100 == 0, router)
+    got = ann.search(vectors, F.col("vec_id") % 100 == 0, router=router).collect()
+    want = {q: {j for j, _ in near} for q, near in brute_neighbours(rows, 10).items()}
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in got) >= 0.9 * 10 * len(want)
+    assert share < 0.2 and largest < 2.5, (share, largest)
+
+
 def test_neighbours_with_odd_vectors_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [1.0, 0.0]), (7, None), (8, [0.0, 0.0]), (9, [float("nan"), 1.0]), (10, [float("inf"), 1.0]), (11, [None, 1.0]), (12, [1.0]), (200, [0.0, 0.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x")).withColumn("part", F.lit(1))
@@ -289,6 +314,28 @@ def test_occurrences_equal_the_agenda_under_their_salt():
         assert got == [one_agenda(vocab, e, u, k) for u, k in zip(units, streams, strict=True)]
 
 
+def test_long_units_on_a_heap_equal_the_lockstep_agenda(monkeypatch):
+    import time
+
+    vocab = mergedropout.MergeVocabulary.read(mergedropout.VOCABULARY)
+    rng = np.random.default_rng(3)
+    units = [" " + "".join(rng.choice(list("abehinorst日é🎉"), int(n))) for n in (1, 2, 30, 200, 500, 900)] + [" internationalisation" * 30, "x" * 700]
+    salt = rng.integers(0, 2**63, len(units)).astype(np.uint64)
+    for dropout in (0.0, 0.3):
+        monkeypatch.setattr(mergedropout, "HEAP", 10**9)
+        flat, n = mergedropout.Encoder(vocab, 7, dropout).occurrences(units, salt)
+        monkeypatch.setattr(mergedropout, "HEAP", 0)
+        e = mergedropout.Encoder(vocab, 7, dropout)
+        got = [e._on_heap(u, int(s)).tolist() for u, s in zip(units, salt, strict=True)]
+        assert got == [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+    long = "".join(rng.choice(list("ABCDEFabcdef0123456789+/"), 1 << 20))
+    monkeypatch.setattr(mergedropout, "HEAP", 512)
+    began, e = time.time(), mergedropout.Encoder(vocab, 7, 0.1)
+    flat, n = e.occurrences(["_" + long], np.array([5], np.uint64))
+    assert time.time() - began < 60
+    assert mergedropout.Decoder(vocab).text(flat.tolist()) == long
+
+
 def e_salt(encoder, unit, stream):
     import xxhash
 
@@ -370,6 +417,19 @@ def test_mixture_against_brute_force(spark):
     assert mixing.realise(df.limit(0), mixing.plan(df.limit(0))).count() == 0
 
 
+def test_budgets_hold_without_doc_ids_and_with_copies(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ORDER_ROWS", 20)
+    rows = [(None, "a", f"word {i} " * 4) for i in range(300)] + [(None, "b", "the same row " * 3)] * 200 + [(i, "c", "one two three four") for i in range(900)] + [(7, "d", "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("h", F.lit("x")).withColumn("row", F.lit("x"))
+    counted = mixing.prepare(docs, ("doc_id", "source", "h", "row"))
+    plans = mixing.plan(counted, budget=5000)
+    out = mixing.realise(counted, plans)
+    spent = {r["source"]: (r["n"], r["most"]) for r in out.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most")).collect()}
+    for p in plans:
+        assert p.budget - spent[p.source][1] < spent[p.source][0] <= p.budget, p
+    assert sum(p.budget for p in plans) == pytest.approx(5000, abs=4)
+
+
 def test_pipeline_stages_hold(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "", None, None, None), (10**6 + 2, "12 34 !!", "en", "s", 8), (None, docs.first()["text"], "en", "s", 3)], DOCS)
