@@ -44,9 +44,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and cut the sources' documents to their target weights."""
-    rows = docs.select(*COLUMNS)
-    plan = mixing.plan(written(mixing.count_tokens(rows), "mixing-tokens"))
-    return mixing.realise(rows, plan).select(*COLUMNS)
+    rows = mixing.prepare(docs, COLUMNS)
+    return mixing.realise(rows, mixing.plan(rows)).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
