@@ -4,30 +4,56 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two arrays of doubles."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d))
+#: Targets and training days of a block.
+TARGETS, DAYS = 1024, 4096
 
 
 def nearest_days(train: DataFrame, target: DataFrame, n: int, window: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """The n nearest training days of every target day: (keys, target, day, dist, rank).
 
     train has day and x, target has target and x (and keys, for a search per location). Days within
-    ``window`` days of the target are left out. Ties go to the smaller day. A stated query set meets all
-    training rows in a join whose result is cut to n per target map-side: training rows are dealt over
-    partitions, each partition keeps its n best per target, and only those are ranked again.
+    ``window`` days of the target are left out. Ties go to the smaller day. The targets meet all training
+    days in blocks of bounded size: each block of days gives its n best of each target of a block, and
+    only those are ranked again. Days and targets without predictors, or with a missing one, take no part.
     """
-    t = target.select(*keys, "target", F.col("x").alias("tx"))
-    pairs = train.join(F.broadcast(t), list(keys)) if keys else train.crossJoin(F.broadcast(t))
-    if window is not None:
-        pairs = pairs.filter(F.abs(F.datediff("day", "target")) > window)
-    scored = pairs.select(*keys, "target", "day", distance(F.col("x"), F.col("tx")).alias("dist"))
-    best = scored.groupBy(*keys, "target", F.spark_partition_id().alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "day"))), 1, n).alias("d"))
-    flat = best.select(*keys, "target", F.explode("d").alias("d")).select(*keys, "target", "d.day", "d.dist")
+    whole = lambda df: df.filter(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    train, target = whole(train).select(*keys, "day", "x"), whole(target).select(*keys, "target", "x")
+    most = lambda df: (df.groupBy(*keys).count() if keys else df.select(F.count("*").alias("count"))).agg(F.max("count").alias("n")).first()["n"] or 0
+    nt, nd = -(-most(target) // TARGETS) or 1, -(-most(train) // DAYS) or 1
+    dealt = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    days = train.select(*keys, "day", "x", dealt("day", nd).alias("db"), every(nt).alias("tb"))
+    asked = target.select(*keys, "target", "x", every(nd).alias("db"), dealt("target", nt).alias("tb"))
+    names = [*keys, "target", "day", "dist"]
+    kinds = ", ".join(f"`{c}` {(target if c in target.columns else train).schema[c].dataType.simpleString()}" for c in names[:-1]) + ", dist double"
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in names})
+        a = a.sort_values("day", kind="stable")
+        x, y = np.array(a["x"].tolist(), np.float64), np.array(b["x"].tolist(), np.float64)
+        square = np.zeros((len(y), len(x)))
+        for j in range(x.shape[1]):  # term by term, so that equal sums stay equal
+            square += (y[:, j, None] - x[None, :, j]) ** 2
+        dist = np.sqrt(square)
+        if window is not None:
+            day, to = (c.to_numpy().astype("datetime64[D]").astype(np.int64) for c in (a["day"], b["target"]))
+            dist[np.abs(day[None, :] - to[:, None]) <= window] = np.inf
+        best = np.argsort(dist, axis=1, kind="stable")[:, :n]
+        row, col = np.repeat(np.arange(len(y)), best.shape[1]), best.ravel()
+        found = np.isfinite(dist[row, col])
+        row, col = row[found], col[found]
+        out = {c: b[c].to_numpy()[row] for c in (*keys, "target")} | {"day": a["day"].to_numpy()[col], "dist": dist[row, col]}
+        return pd.DataFrame(out)
+
+    block = [*keys, "db", "tb"]
+    flat = days.groupBy(*block).cogroup(asked.groupBy(*block)).applyInPandas(search, kinds)
     order = Window.partitionBy(*keys, "target").orderBy("dist", "day")
     return flat.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 

@@ -6,13 +6,13 @@ dispersion, aic); prediction joins that table, so a site without a model predict
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isobar.functions.dist import family as distribution
+
 MODEL = "family string, link string, coef array<double>, dispersion double, aic double"
 
 # Link, inverse link, slope of the mean, and variance function by name.
@@ -193,26 +193,110 @@ def fit(rows: DataFrame, keys: list[str], family: str = "gaussian", link: str |
 
 
 def predict(rows: DataFrame, models: DataFrame, keys: list[str], simulate: bool = False, seed: int = 1) -> DataFrame:
-    """rows (keys, x) with ``prediction`` = mean response; ``simulate`` draws binomial or gamma values."""
+    """rows (keys, x) with ``prediction`` = mean response; ``simulate`` draws binomial or gamma values.
+
+    A draw depends on the seed and the row alone (its keys, ``t`` where there is one, and x).
+    """
     m = models.select(*keys, "family", "link", "coef", "dispersion")
     eta = F.get("coef", F.lit(0)) + F.aggregate(F.zip_with("x", F.slice("coef", 2, F.greatest(F.size("coef") - 1, F.lit(0))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     mean = F.when(F.col("link") == "log", F.exp(eta)).when(F.col("link") == "logit", 1 / (1 + F.exp(-eta))).when(F.col("link") == "inverse", F.try_divide(F.lit(1.0), eta)).when(F.col("link") == "1/mu^2", 1 / F.sqrt(eta)).otherwise(eta)
     out = rows.join(m, keys, "left").withColumn("prediction", F.when(F.col("coef").isNotNull(), mean))
     if simulate:
-        def draw(batches):
-            for pdf in batches:
-                mu, phi = pdf["prediction"].to_numpy(dtype=float), pdf["dispersion"].to_numpy(dtype=float)
-                rng = np.random.default_rng([seed, zlib.crc32(pd.util.hash_pandas_object(pdf[keys].astype(str), index=False).to_numpy().tobytes())])
-                with np.errstate(all="ignore"):
-                    gamma = rng.gamma(np.where(phi > 0, 1 / phi, 1.0), np.where(phi > 0, phi * np.maximum(mu, 0), 0.0))
-                    value = np.where(pdf["family"] == "binomial", (rng.uniform(size=len(mu)) < mu).astype(float), np.where(pdf["family"] == "gamma", gamma, mu))
-                pdf["prediction"] = np.where(np.isfinite(mu), value, np.nan)
-                yield pdf
-
-        out = out.mapInPandas(draw, out.schema)
+        named = [*keys, *(["t"] if "t" in rows.columns else []), "x"]
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *named), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+        inverse = distribution("gamma").ppf
+
+        @F.pandas_udf("double")
+        def gamma(u: pd.Series, mu: pd.Series, phi: pd.Series) -> pd.Series:
+            u, mu, phi = (x.to_numpy(dtype=float) for x in (u, mu, phi))
+            out = np.full(len(u), np.nan)
+            for shape in np.unique(1 / phi[phi > 0]):  # one dispersion per model
+                at = np.flatnonzero(np.isfinite(mu) & (phi > 0) & (1 / np.where(phi > 0, phi, 1) == shape))
+                out[at] = inverse(u[at], shape, shape) * mu[at]
+            return pd.Series(out)
+
+        mu = F.col("prediction")
+        drawn = F.when(F.col("family") == "binomial", (u < mu).cast("double")).when(F.col("family") == "gamma", F.coalesce(F.nanvl(gamma(u, mu, F.col("dispersion")), mu), mu)).otherwise(mu)
+        out = out.withColumn("prediction", F.when(mu.isNotNull(), drawn))
     return out.drop("family", "link", "coef", "dispersion")
 
 
+def fit_spread(rows: DataFrame, keys: list[str], family: str = "gaussian", link: str | None = None, op: str | None = None, threshold: float | None = None, rounds: int = 50) -> DataFrame:
+    """``fit`` for models with many rows each: a round sums X'WX over partitions, and no model's rows meet.
+
+    Models are few (a global one, or one per region): their coefficients travel with each round. The
+    likelihood takes one more pass.
+    """
+    base = family.removeprefix("quasi") or family
+    link = link or DEFAULT_LINK.get(base, "identity")
+    g, inv, slope = LINKS[link]
+    var = VARIANCES.get(base, VARIANCES["gaussian"])
+    spark = rows.sparkSession
+    used = rows.filter(condition("y", op, threshold) & ~F.isnan("y") & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))).select(*keys, F.col("y").cast("double").alias("y"), "x")
+    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def sums(betas: dict | None, means: dict | None) -> dict:
+        sent = spark.sparkContext.broadcast((betas, means))
+
+        def run(batches):
+            total: dict = {}
+            for pdf in batches:
+                for key, part in pdf.groupby(keys, dropna=False):
+                    y, d = part["y"].to_numpy(float), np.column_stack((np.ones(len(part)), np.array(part["x"].tolist(), float)))
+                    betas, means = sent.value
+                    with np.errstate(all="ignore"):
+                        if betas is None:
+                            mean = (means or {}).get(key, 0.0)
+                            mu = {"binomial": (y + 0.5) / 2, "poisson": y + 0.1}.get(base, np.where(y > 0, y, mean) if link in ("log", "inverse", "1/mu^2") else y)
+                            eta = g(mu) if means is not None else np.zeros(len(y))
+                        elif key not in betas:
+                            continue
+                        else:
+                            eta = d @ betas[key]
+                        mu, m = inv(eta), slope(eta)
+                        v = np.maximum(var(mu), 1e-12)
+                        w = m**2 / v
+                        z = eta + (y - mu) / np.where(m == 0, 1e-12, m)
+                        say = np.log(np.clip(np.where(y > 0.5, mu, 1 - mu), 1e-12, 1)).sum() if base == "binomial" else -0.5 * np.log(np.maximum(v, 1e-300)).sum()
+                    flat = np.concatenate(((d.T @ (d * w[:, None])).ravel(), d.T @ (w * z), [len(y), y.sum(), ((y - mu) ** 2 / v).sum(), ((y - mu) ** 2).sum(), say]))
+                    total[key] = total.get(key, 0.0) + flat
+            if total:
+                yield pd.DataFrame([dict(zip(keys, k, strict=True)) | {"flat": v.tolist()} for k, v in total.items()])
+
+        got = used.mapInPandas(run, f"{types}, flat array<double>")
+        width = F.max(F.size("flat")).alias("n")
+        size = got.agg(width).first()["n"]
+        cells = [F.sum(F.get("flat", F.lit(i))).alias(f"s{i}") for i in range(size or 0)]
+        return {tuple(r[k] for k in keys): np.array([r[f"s{i}"] for i in range(size)]) for r in got.groupBy(*keys).agg(*cells).collect()} if size else {}
+
+    def parts(flat):
+        k = int(round((np.sqrt(4 * (len(flat) - 5) + 1) - 1) / 2))
+        return flat[: k * k].reshape(k, k), flat[k * k : k * k + k], flat[k * k + k :]
+
+    means = {k: float(f[-4] / f[-5]) for k, f in sums(None, None).items()} if link in ("log", "inverse", "1/mu^2") else {}
+    betas: dict = {}
+    found, broken = sums(None, means), set()
+    for _ in range(rounds):
+        new = {k: np.linalg.lstsq(a, b, rcond=None)[0] for k, f in found.items() for a, b, _ in [parts(f)] if np.isfinite(f).all()}
+        broken |= found.keys() - new.keys()
+        done = all(k in betas and np.abs(new[k] - betas[k]).max() <= 1e-10 * (1 + np.abs(betas[k]).max()) for k in new)
+        betas = new
+        found = sums(betas, None)
+        if done or link == "identity" and base not in ("binomial", "poisson", "gamma", "inverse.gaussian"):
+            break
+    out = []
+    for k, f in found.items():
+        _, b, (n, _, chi, left, say) = parts(f)
+        d = len(b)
+        if n <= d - 1:
+            continue
+        phi = 1.0 if family in ("binomial", "poisson") else chi / max(1, n - d)
+        loglik = say if base == "binomial" else -0.5 * n * np.log(max(left / n, 1e-300)) if base == "gaussian" else say - 0.5 * n * np.log(2 * np.pi * phi) - 0.5 * chi / phi
+        out.append((*k, family, link, betas[k].tolist(), float(phi), float(2 * d - 2 * loglik)))
+    out += [(*k, family, link, None, None, None) for k in broken]
+    return spark.createDataFrame(out, f"{types}, {MODEL}")
+
+
 def simple_line(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Least squares of y on one predictor x1, natively: slope and intercept per key."""
     return rows.groupBy(*keys).agg(F.regr_slope("y", "x1").alias("slope"), F.regr_intercept("y", "x1").alias("intercept"))

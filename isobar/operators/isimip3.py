@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isobar.functions.dist import betainc, family, kolmogorov, quantile
+from isobar.functions.quantile import average_ties, interpolate, literal
 from isobar.operators.native import fresh
 
 
@@ -77,28 +78,49 @@ def map_by_rank(x, y) -> np.ndarray:
 
 
 def map_trend(o, h, f, kind="additive", n=50, max_change=100.0, max_adjust=9.0, onto_obs=False, lower=None, upper=None) -> np.ndarray:
-    """Quantile map that keeps the simulated change; ``onto_obs`` puts the change on the observations."""
+    """Quantile map that keeps the simulated change; ``onto_obs`` puts the change on the observations.
+
+    Each value's share among its own quantiles gives the observed, historical and future quantile whose
+    change is transferred. The mixed kind is multiplicative where the simulation is not below the
+    observation, and passes over to additive as it falls to a ``max_adjust``-th of it.
+    """
     k = min(n + 1, len(o), len(h), len(f))
-    p = np.linspace(0, 1, k)
-    qo, qh, qf = quantile(o, p), quantile(h, p), quantile(f, p)
+    if k < 2:
+        return o.copy() if onto_obs else f.copy()
+    share = np.linspace(0, 1, k)
+    qo, qh, qf = quantile(o, share), quantile(h, share), quantile(f, share)
+    p = np.interp(o, qo, share) if onto_obs else np.interp(f, qf, share)
+    vo, vh, vf = (np.interp(p, share, q) for q in (qo, qh, qf))
+    add = vo + vf - vh
     if kind == "bounded":
-        target = transfer_change(qo, qh, qf, lower, upper)
-    else:
-        add = qo + qf - qh
-        with np.errstate(all="ignore"):
-            change = np.where(qh == 0, 1.0, qf / np.where(qh == 0, 1, qh))
-        mult = qo * np.clip(change, 1 / max_change, max_change)
-        if kind == "additive":
-            target = add
-        elif kind == "multiplicative":
-            target = mult
-        else:
-            weight = np.zeros(k)
-            part = (qh > qo) & (qh < max_adjust * qo)
-            weight[part] = 0.5 * (1 + np.cos((qh[part] / qo[part] - 1) * np.pi / (max_adjust - 1)))
-            weight[qh <= qo] = 1.0
-            target = weight * mult + (1 - weight) * add
-    return map_constant(o, qo, target) if onto_obs else map_constant(f, qf, target)
+        return transfer_change(vo, vh, vf, lower, upper)
+    if kind == "additive":
+        return add
+    with np.errstate(all="ignore"):
+        change = np.where(vh == 0, 1.0, vf / np.where(vh == 0, 1, vh))
+    mult = vo * np.clip(change, 1 / max_change, max_change)
+    if kind == "multiplicative":
+        return mult
+    weight = (vh >= vo).astype(float)
+    part = (vh < vo) & (vo < max_adjust * vh)
+    weight[part] = 0.5 * (1 + np.cos((vo[part] / vh[part] - 1) * np.pi / (max_adjust - 1)))
+    return weight * mult + (1 - weight) * add
+
+
+def trend_map(train: DataFrame, sim: DataFrame, keys: list[str], kind: str = "additive", n: int = 50, max_change: float = 100.0, max_adjust: float = 9.0) -> DataFrame:
+    """map_trend of every series' target values, as expressions: sim's rows with ``corrected``."""
+    share = literal([i / n for i in range(n + 1)])
+    q = train.groupBy(*keys).agg(F.percentile("o", share).alias("qo"), F.percentile("p", share).alias("qh")).join(sim.groupBy(*keys).agg(F.percentile("s", share).alias("qf")), keys)
+    q = q.withColumn("at", average_ties(F.col("qf"), share))
+    at = sim.join(q, keys).withColumn("share", interpolate(F.col("s"), F.col("qf"), F.col("at")))
+    vo, vh, vf = (interpolate(F.col("share"), share, F.col(c)) for c in ("qo", "qh", "qf"))
+    rows = at.select(*sim.columns, vo.alias("vo"), vh.alias("vh"), vf.alias("vf"))
+    o, h, f = F.col("vo"), F.col("vh"), F.col("vf")
+    add, mult = o + f - h, o * F.greatest(F.lit(1 / max_change), F.least(F.lit(max_change), F.when(h == 0, 1.0).otherwise(F.try_divide(f, h))))
+    part = 0.5 * (1 + F.cos((F.try_divide(o, h) - 1) * (np.pi / (max_adjust - 1))))
+    weight = F.when(h >= o, 1.0).when(o < max_adjust * h, part).otherwise(0.0)
+    value = {"additive": add, "multiplicative": mult, "mixed": weight * mult + (1 - weight) * add}[kind]
+    return rows.select(*sim.columns, value.alias("corrected"))
 
 
 def odds_transfer(x, y, z) -> np.ndarray:
@@ -134,7 +156,7 @@ def censor(x, preset: Preset, rng, power=1.0):
         if pair is None:
             continue
         bound, thr = pair
-        at = np.nonzero(x <= thr if low else x >= thr)[0]
+        at = np.nonzero(x < thr if low else x > thr)[0]
         if len(at):
             draws = np.sort(bound + rng.uniform(0, 1, len(at)) ** power * (thr - bound))
             x[at[np.lexsort((rng.uniform(size=len(at)), x[at]))]] = draws
@@ -144,9 +166,9 @@ def censor(x, preset: Preset, rng, power=1.0):
 def uncensor(x, preset: Preset):
     """Set values beyond a threshold to its bound."""
     if preset.lower:
-        x = np.where(x <= preset.lower[1], preset.lower[0], x)
+        x = np.where(x < preset.lower[1], preset.lower[0], x)
     if preset.upper:
-        x = np.where(x >= preset.upper[1], preset.upper[0], x)
+        x = np.where(x > preset.upper[1], preset.upper[0], x)
     return x
 
 

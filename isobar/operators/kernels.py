@@ -23,8 +23,8 @@ def adjust_frequency(o: np.ndarray, p: np.ndarray, threshold: float, rng) -> tup
     """Match the model's dry share to the observed one: (dry values, wet threshold, adjusted p in order of p).
 
     Where the model is too dry, the values between its dry number and its values below the threshold
-    become small rain: gamma draws fitted to the observed values of those ranks (more than six distinct
-    values), or their mean.
+    become small rain: gamma draws fitted to the observed values that follow the observed dry ones, up to
+    the same share of the series (more than six distinct values), or their mean.
     """
     n_dry_o = int((o < threshold).sum())
     n_dry = int(np.ceil(len(p) * n_dry_o / len(o)))
@@ -34,9 +34,7 @@ def adjust_frequency(o: np.ndarray, p: np.ndarray, threshold: float, rng) -> tup
     wet_from = float(around.max()) if len(around) else np.nan
     below = int((s < threshold).sum())
     if n_dry < below:
-        ranks = np.ceil(np.arange(n_dry + 1, below + 1) * len(o) / len(p)).astype(int)
-        band = np.sort(o)[np.clip(ranks - 1, 0, len(o) - 1)]
-        band = band[band > 0]
+        band = np.sort(o)[n_dry_o : int(np.ceil(len(o) * below / len(p)))]
         if len(np.unique(band)) > 6 and (fit := family("gamma").fit(band)) is not None:
             s[n_dry:below] = rng.gamma(fit[0], 1 / fit[1], below - n_dry)
         elif len(band):
@@ -196,7 +194,7 @@ def dqm(o, p, s, threshold, rng, n_quantiles=None, detrend=True, precipitation=F
     y = interp_ties(z, qp, qo)
     low, high = z < qp[0], z > qp[-1]
     if precipitation:
-        y[low] = (qo[0] / qp[0] * z)[low] if o.min() >= threshold * 1e-3 else qo[0]
+        y[low] = (qo[0] / qp[0] * z)[low] if o.min() >= SQRT_EPS else qo[0]
         y[high] = (qo[-1] / qp[-1] * z)[high]
         y = y * trend
         return np.where(y < SQRT_EPS, 0.0, y)

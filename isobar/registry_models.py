@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isobar.functions.quantile import average_ties, interpolate, literal
 from isobar.operators import analogs, glm, grid, isimip1, isimip3, kernels, native, predictors
 from isobar.plans import downscale, fixtures
 from isobar.plans.fixtures import KEYS
@@ -47,27 +46,21 @@ def _extreme(spark, sf_dir):
 
 
 _P20 = [i / 20 for i in range(21)]
-for _name, _target in (("additive", "qo[i] + qf[i] - qh[i]"), ("multiplicative", "qo[i] * greatest(0.01::DOUBLE, least(100.0::DOUBLE, CASE WHEN qh[i] = 0 THEN 1 ELSE qf[i] / qh[i] END))")):
+_MULT = "vo * greatest(0.01::DOUBLE, least(100.0::DOUBLE, CASE WHEN vh = 0 THEN 1 ELSE vf / vh END))"
+_WEIGHT = "CASE WHEN vh >= vo THEN 1.0::DOUBLE WHEN vo < 9 * vh THEN 0.5::DOUBLE * (1 + cos((vo / vh - 1) * pi() / 8)) ELSE 0.0::DOUBLE END"
+for _name, _target in (("additive", "vo + vf - vh"), ("multiplicative", _MULT), ("mixed", f"{_WEIGHT} * ({_MULT}) + (1 - {_WEIGHT}) * (vo + vf - vh)")):
 
     def _trend_map(spark, sf_dir, kind=_name):
-        """Quantile map that keeps the simulated change, over 21 quantiles."""
-        train, sim = fixtures.split(fixtures.temperature(spark, sf_dir))
-        at = literal(_P20)
-        q = train.groupBy(*KEYS).agg(F.percentile("o", at).alias("qo"), F.percentile("p", at).alias("qh")).join(sim.groupBy(*KEYS).agg(F.percentile("s", at).alias("qf")), KEYS)
-        o, h, f = (F.get(c, F.col("i")) for c in ("qo", "qh", "qf"))
+        """Quantile map that keeps the simulated change, over 21 quantiles; mixed on rain, where both kinds occur."""
+        train, sim = fixtures.split(fixtures.precipitation(spark, sf_dir) if kind == "mixed" else fixtures.temperature(spark, sf_dir))
+        return _out(isimip3.trend_map(train, sim, KEYS, kind, 20), "loc_id", "t")
 
-        def target(i):
-            o, h, f = F.get("qo", i), F.get("qh", i), F.get("qf", i)
-            return o + f - h if kind == "additive" else o * F.greatest(F.lit(0.01), F.least(F.lit(100.0), F.when(h == 0, 1.0).otherwise(f / h)))
-
-        q = q.withColumn("y", F.transform(F.sequence(F.lit(0), F.lit(20)), target)).withColumn("y", average_ties(F.col("qf"), F.col("y")))
-        out = sim.join(q, KEYS).withColumn("corrected", interpolate(F.col("s"), F.col("qf"), F.col("y"), "offset"))
-        return _out(out, "loc_id", "t")
-
-    _query(f"qm_nonparam_{_name}", f""", q AS (SELECT loc_id, quantile_cont(o, {_list(_P20)}) AS qo, quantile_cont(p, {_list(_P20)}) AS qh FROM tr GROUP BY 1),
-z AS (SELECT loc_id, quantile_cont(s, {_list(_P20)}) AS qf FROM si GROUP BY 1), y AS (SELECT loc_id, qf, list_transform(range(1, 22), lambda i: {_target}) AS y0 FROM q JOIN z USING (loc_id)),
-a AS (SELECT loc_id, qf, {_ties('qf', 'y0')} AS y FROM y)
-SELECT loc_id, t, round({_interp('s', 'qf', 'y', 'offset')}, 4) + 0.0 AS corrected FROM si JOIN a USING (loc_id)""")(_trend_map)
+    _rain = "p" if _name == "mixed" else ""
+    _query(f"qm_nonparam_{_name}", f""", q AS (SELECT loc_id, quantile_cont(o::DOUBLE, {_list(_P20)}) AS qo, quantile_cont(p::DOUBLE, {_list(_P20)}) AS qh FROM tr{_rain} GROUP BY 1),
+z AS (SELECT loc_id, quantile_cont(s::DOUBLE, {_list(_P20)}) AS qf FROM si{_rain} GROUP BY 1), y AS (SELECT loc_id, qo, qh, qf, {_list(_P20)} AS p0 FROM q JOIN z USING (loc_id)),
+a AS (SELECT loc_id, qo, qh, qf, p0, {_ties('qf', 'p0')} AS p1 FROM y), b AS (SELECT loc_id, t, qo, qh, qf, p0, {_interp('s', 'qf', 'p1')} AS k FROM si{_rain} JOIN a USING (loc_id)),
+v AS (SELECT loc_id, t, {_interp('k', 'p0', 'qo')} AS vo, {_interp('k', 'p0', 'qh')} AS vh, {_interp('k', 'p0', 'qf')} AS vf FROM b)
+SELECT loc_id, t, round({_target}, 4) + 0.0 AS corrected FROM v""")(_trend_map)
 
 
 @_query("qm_brute_force", """, n AS (SELECT loc_id, count(*) AS n FROM si GROUP BY 1), v AS (SELECT loc_id, list_sort(list(o)) AS y, count(*) AS m FROM tr GROUP BY 1),
@@ -117,26 +110,19 @@ for _name, _f in (("mean", "avg(value::DOUBLE)"), ("wmean", "sum(value / greates
     _query(f"analogs_{_name}", _VECTORS.format(f=_f))(_analogs)
 
 
-@_query("analogs_window", """, d AS (SELECT q.t AS target, c.t AS day, c.y AS value, sqrt((q.x1 - c.x1) ** 2 + (q.x2 - c.x2) ** 2 + (q.x3 - c.x3) ** 2) AS dist FROM g q, g c WHERE year(q.t) = 1998 AND year(c.t) IN (1997, 1998) AND abs(date_diff('day', q.t, c.t)) > 7),
+@_query("analogs_window", """, d AS (SELECT q.t AS target, c.t AS day, c.y AS value, sqrt((q.x1 - c.x1) ** 2 + (q.x2 - c.x2) ** 2 + (q.x3 - c.x3) ** 2) AS dist FROM g q, g c WHERE abs(date_diff('day', q.t, c.t)) > 7),
 b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY target ORDER BY dist, day) <= 4) SELECT target, round(avg(value), 4) + 0.0 AS value FROM b GROUP BY 1""")
-def _window(spark, sf_dir, targets="year(t) = 1998", training="year(t) in (1997, 1998)"):
+def _window(spark, sf_dir):
+    """Every day against every day."""
     g = fixtures.predictors(spark, sf_dir).withColumn("x", F.array("x1", "x2", "x3"))
-    train = g.filter(training).select(F.col("t").alias("day"), "x")
-    target = g.filter(targets).select(F.col("t").alias("target"), "x")
     values = g.select(F.col("t").alias("day"), F.lit(0).alias("site"), F.col("y").alias("value"))
-    return _out(analogs.predict(train, target, values, 4, "mean", 7), "target", value="value")
-
-
-@_query("analogs_window_all")
-def _window_all(spark, sf_dir):
-    """Every day against every day; analogs_window stays with the years of its SQL."""
-    return _window(spark, sf_dir, "true", "true")
+    return _out(analogs.predict(g.select(F.col("t").alias("day"), "x"), g.select(F.col("t").alias("target"), "x"), values, 4, "mean", 7), "target", value="value")
 
 
 @_query("glm_gaussian", """, l AS (SELECT regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM g WHERE year(t) < 1999) SELECT t, round(a + b * x1, 4) + 0.0 AS prediction FROM g, l WHERE year(t) >= 1999""")
 def _gaussian(spark, sf_dir):
     g = fixtures.predictors(spark, sf_dir).withColumn("site", F.lit(0)).withColumn("x", F.array("x1"))
-    models = glm.fit(g.filter("year(t) < 1999"), ["site"])
+    models = glm.fit_spread(g.filter("year(t) < 1999"), ["site"])
     return _out(glm.predict(g.filter("year(t) >= 1999").select("site", "t", "x"), models, ["site"]), "t", value="prediction")
 
 
@@ -152,14 +138,18 @@ def _cv(spark, sf_dir):
     return _out(out.withColumn("prediction", F.col("intercept") + F.col("slope") * F.col("x1")), "t", value="prediction")
 
 
-def _kernel(name, method, rain, **options):
+def _kernel(name, method, rain, drier=False, **options):
     @_query(name)
     def run(spark, sf_dir):
-        train, sim = fixtures.split(fixtures.precipitation(spark, sf_dir) if rain else fixtures.temperature(spark, sf_dir))
+        series = fixtures.precipitation(spark, sf_dir) if rain else fixtures.temperature(spark, sf_dir)
+        if drier:  # the model has more dry days than were observed, so small rain is drawn
+            series = series.select(*KEYS, "t", F.col("pred").alias("obs"), F.col("obs").alias("pred"))
+        train, sim = fixtures.split(series)
         return _out(kernels.correct(train, sim, KEYS, method, precipitation=rain, **options), "loc_id", "t")
 
 
 _kernel("bc_eqm_precip", "eqm", True, n_quantiles=20)
+_kernel("bc_eqm_precip_drizzle", "eqm", True, True, n_quantiles=20)
 _kernel("bc_pqm_gamma_precip", "pqm", True, family="gamma")
 _kernel("bc_pqm_gamma", "pqm", False, family="gamma")
 _kernel("bc_pqm_weibull", "pqm", False, family="weibull")
@@ -200,7 +190,8 @@ def _model(name, **options):
         g = fixtures.predictors(spark, sf_dir).withColumn("site", F.lit(0)).withColumn("x", F.array("x1", "x2", "x3"))
         if options.get("family") == "binomial":
             g = g.withColumn("y", (F.col("y") > 38000).cast("double"))
-        return _out(glm.predict(g.select("site", "t", "x"), glm.fit(g, ["site"], **options), ["site"]), "t", value="prediction")
+        fit = glm.fit if "fitting" in options else glm.fit_spread  # choices among models need one place; the rest are sums
+        return _out(glm.predict(g.select("site", "t", "x"), fit(g, ["site"], **options), ["site"]), "t", value="prediction")
 
 
 _model("glm_binomial", family="binomial")

@@ -82,10 +82,80 @@ def test_windowed_analogs_search_all_days(spark, tmp_path):
     for i, d in enumerate(days):
         dist = np.where(np.abs(t - t[i]) <= 7, np.inf, ((x - x[i]) ** 2).sum(axis=1))
         want[d] = y[np.argsort(dist)[:4]].mean()
-    got = {r["target"]: r["value"] for r in registry.queries()["analogs_window_all"](spark, str(tmp_path)).collect()}
+    got = {r["target"]: r["value"] for r in registry.queries()["analogs_window"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-3)
 
 
+def test_analogs_in_small_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(analogs, "TARGETS", 7)
+    monkeypatch.setattr(analogs, "DAYS", 11)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (60, 2)).astype(float)  # many ties
+    rows = [(i % 2, i, v.tolist()) for i, v in enumerate(x)] + [(0, 900, None), (1, 901, [None, 1.0])]
+    train = spark.createDataFrame(rows, "site int, day long, x array<double>")
+    target = train.withColumnRenamed("day", "target")
+    got = {(r["target"], r["rank"]): (r["day"], r["dist"]) for r in analogs.nearest_days(train, target, 3, None, ("site",)).collect()}
+    assert len(got) == 180
+    for i in range(60):
+        near = sorted((math.sqrt(((x[i] - x[j]) ** 2).sum()), j) for j in range(60) if j % 2 == i % 2)[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == [(j, d) for d, j in near]
+
+
+def test_mixed_map_is_multiplicative_unless_the_simulation_is_far_below():
+    one = lambda o, h, f: float(isimip3.map_trend(np.full(5, o), np.full(5, h), np.full(5, f), "mixed")[0])
+    assert one(1.0, 20.0, 40.0) == pytest.approx(2.0)  # times the change of two
+    assert one(20.0, 1.0, 2.0) == pytest.approx(21.0)  # plus the change of one
+    w = 0.5 * (1 + math.cos((3.0 - 1) * math.pi / 8))
+    assert one(3.0, 1.0, 2.0) == pytest.approx(w * 6.0 + (1 - w) * 4.0)
+
+
+@pytest.mark.parametrize("kind", ["additive", "multiplicative", "mixed"])
+def test_trend_map_equals_the_kernel(spark, kind):
+    rng = np.random.default_rng(6)
+    days = [dt.date(2000, 1, 1) + dt.timedelta(i) for i in range(300)]
+    o, h, f = rng.gamma(2, 1, 300), rng.gamma(2, 1.5, 300), rng.gamma(2, 3, 300)
+    train = spark.createDataFrame([(1, d, float(a), float(b)) for d, a, b in zip(days, o, h, strict=True)], "loc_id int, t date, o double, p double")
+    sim = spark.createDataFrame([(1, d, float(c)) for d, c in zip(days, f, strict=True)], "loc_id int, t date, s double")
+    got = {r["t"]: r["corrected"] for r in isimip3.trend_map(train, sim, ["loc_id"], kind, 20).collect()}
+    assert [got[d] for d in days] == pytest.approx(isimip3.map_trend(o, h, f, kind, 20).tolist())
+
+
+def test_values_at_a_threshold_are_not_censored():
+    preset = isimip3.Preset((0, 0.1), (1, 0.9))
+    x = np.array([0.0, 0.1, 0.5, 0.9, 1.0])
+    y = isimip3.censor(x, preset, np.random.default_rng(1))
+    assert y[1:4].tolist() == [0.1, 0.5, 0.9] and 0 < y[0] < 0.1 and 0.9 < y[4] < 1
+    assert isimip3.uncensor(y, preset).tolist() == x.tolist()
+
+
+@pytest.mark.parametrize("family,link", [("gaussian", "identity"), ("binomial", "logit"), ("gamma", "log"), ("poisson", "log")])
+def test_models_fitted_by_sums_equal_those_fitted_in_one_place(spark, family, link):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 2))
+    mean = np.exp(0.3 + x @ [0.5, -0.2])
+    y = {"gaussian": mean + rng.normal(size=500), "binomial": (rng.uniform(size=500) < mean / (1 + mean)).astype(float), "gamma": rng.gamma(3, mean / 3), "poisson": rng.poisson(mean).astype(float)}[family]
+    rows = [(i % 2, float(b), a.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(0, None, [1.0, 1.0]), (1, 2.0, [None, 1.0])]
+    df = spark.createDataFrame(rows, "site int, y double, x array<double>").repartition(4)
+    a, b = ({r["site"]: r for r in f(df, ["site"], family, link).collect()} for f in (glm.fit_spread, glm.fit))
+    for k in (0, 1):
+        assert a[k]["coef"] == pytest.approx(b[k]["coef"], abs=1e-7)
+        assert (a[k]["dispersion"], a[k]["aic"]) == (pytest.approx(b[k]["dispersion"], rel=1e-6), pytest.approx(b[k]["aic"], rel=1e-6))
+
+
+def test_simulated_draws_depend_on_the_row_alone(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i % 3, i, rng.normal(size=2).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "site int, t int, x array<double>")
+    models = spark.createDataFrame([(0, "gamma", "log", [1.0, 0.2, 0.1], 0.5, 0.0), (1, "binomial", "logit", [0.5, 1.0, 0.0], 1.0, 0.0), (2, "gamma", "log", None, None, None)], "site int, " + glm.MODEL)
+    draw = lambda d: {r["t"]: r["prediction"] for r in glm.predict(d, models, ["site"], simulate=True).collect()}
+    a, b = draw(df.repartition(1)), draw(df.repartition(7))
+    assert a == b
+    means = {r["t"]: r["prediction"] for r in glm.predict(df, models, ["site"]).collect()}
+    gamma = np.array([a[t] / means[t] for t in range(0, 600, 3)])
+    assert len(set(gamma)) == 200 and gamma.mean() == pytest.approx(1, abs=0.15) and gamma.var() == pytest.approx(0.5, abs=0.2)
+    assert {a[t] for t in range(1, 600, 3)} == {0.0, 1.0} and {a[t] for t in range(2, 600, 3)} == {None}
+
+
 def test_change_transfer_stays_in_bounds():
     assert float(isimip3.transfer_change(0.2, 0.4, 0.2)) == pytest.approx(0.1)
     assert float(isimip3.transfer_change(0.5, 0.5, 0.7)) == pytest.approx(0.7)

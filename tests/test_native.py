@@ -68,6 +68,30 @@ def test_frequency_adjustment():
     assert (n, wet_from, p.tolist()) == (2, 2.0, [0.0, 0.0, 2.0, 3.0])
 
 
+def test_small_rain_is_drawn_from_the_values_after_the_observed_dry_ones():
+    o = np.array([0, 0, 1.5, 2.5, 3.5, 9, 10, 11])
+    p = np.array([0, 0.1, 0.2, 0.3])  # one of four stays dry; the rest take the observed third to eighth, six values: their mean
+    n, _, got = kernels.adjust_frequency(o, p, 1.0, np.random.default_rng(0))
+    assert n == 1 and got.tolist() == pytest.approx([0.0, *[np.mean([1.5, 2.5, 3.5, 9, 10, 11])] * 3])
+    p = np.array([0, 0.1, 5, 6])  # only the second: up to the observed fourth
+    assert kernels.adjust_frequency(o, p, 1.0, np.random.default_rng(0))[2].tolist() == pytest.approx([0.0, 2.0, 5.0, 6.0])
+    o = np.concatenate((np.zeros(50), np.arange(1.5, 51.5)))
+    got = kernels.adjust_frequency(o, np.zeros(40), 1.0, np.random.default_rng(0))[2]
+    assert (got == 0).sum() == 20 and len(set(got[got > 0])) == 20
+
+
+def test_lower_tail_of_rain_goes_on_in_proportion():
+    rng = np.random.default_rng(0)
+    o, p = np.concatenate((np.zeros(2000), rng.gamma(2, 3, 500))), np.concatenate((np.zeros(2000), rng.gamma(2, 4, 500)))
+    s = np.concatenate((np.zeros(2000), rng.gamma(2, 4, 500)))
+    seeds = [np.random.default_rng(5) for _ in range(2)]
+    out = kernels.dqm(o, p, s, 1.0, seeds[0], 20, False, True)
+    fo, fp, fs = (kernels._fill_zero(x, 1.0, seeds[1]) for x in (o, p, s))
+    x = fs / fp.mean()
+    low = x < (fp / fp.mean()).min()
+    assert low.any() and out[low] == pytest.approx((fo.min() / fp.min() * fs)[low], rel=1e-9)
+
+
 def test_mean_and_deviation_are_matched(spark):
     rng = np.random.default_rng(1)
     o, p = rng.normal(5, 2, 200).tolist(), rng.normal(9, 4, 200).tolist()
