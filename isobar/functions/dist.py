@@ -150,8 +150,29 @@ class Family:
         best = minimise(loss, np.where(held, np.log(np.maximum(start, 1e-8)), start))
         return tuple(float(v) for v in unpack(best)) if loss(best) < 1e299 else None
 
+    def _search(self, p, lo, hi, params) -> np.ndarray:
+        """Where the distribution function reaches p between lo and hi: Newton where it stays inside, else halving."""
+        x, live = (lo + hi) / 2, np.arange(len(p))
+        for _ in range(120):
+            if not len(live):
+                break
+            at, low, high = x[live], lo[live], hi[live]
+            gap = self.cdf(at, *params) - p[live]
+            low, high = np.where(gap < 0, at, low), np.where(gap < 0, high, at)
+            new = (low + high) / 2
+            if not self.discrete:
+                with np.errstate(all="ignore"):
+                    step = at - gap / np.exp(self.logpdf(at, *params))
+                inside = (step > low) & (step < high)
+                new = np.where(inside, step, new)
+            lo[live], hi[live] = low, high
+            settled = (np.abs(new - at) <= 1e-14 * np.abs(at)) | (high - low <= 1e-15 * (np.abs(low) + np.abs(high))) | (gap == 0)
+            x[live] = np.where(gap == 0, at, new)
+            live = live[~settled]
+        return np.ceil(hi - 1e-9) if self.discrete else x
+
     def ppf(self, p, *params) -> np.ndarray:
-        """Quantiles by bisection (the least integer reaching p for discrete families)."""
+        """Quantiles by bracketed Newton steps (the least integer reaching p for discrete families)."""
         p = np.asarray(p, float)
         lo, hi = np.full(p.shape, max(self.low, -1.0)), np.full(p.shape, min(self.high, 1.0))
         for _ in range(1100):
@@ -164,11 +185,7 @@ class Family:
             if not bad.any():
                 break
             lo = np.where(bad, np.maximum(lo * 2 - 1, self.low), lo)
-        for _ in range(100):
-            mid = (lo + hi) / 2
-            up = self.cdf(mid, *params) < p
-            lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
-        out = np.ceil(hi - 1e-9) if self.discrete else (lo + hi) / 2
+        out = self._search(p.ravel(), lo.ravel(), hi.ravel(), params).reshape(p.shape)
         out = np.where(p <= 0, self.low, np.where(p >= 1, self.high, out))
         return np.where(np.isnan(p), np.nan, out)
 
