@@ -43,8 +43,8 @@ SMALL_REGION = 4
 #: Signature agreement a candidate needs: seven standard errors below a similarity of 0.8.
 MIN_AGREEMENT = 0.5
 PERCENT = 80
-#: Bytes of sets a side of a block that is searched across components.
-BLOCK_BYTES = 4 << 20
+#: Bytes of sets, and sets, a side of a block that is searched across components.
+BLOCK_BYTES, BLOCK_SETS = 4 << 20, 512
 #: Rows of a sorted partition, and nodes of a graph's partition, that a worker holds at once.
 WALK_ROWS, STAR_NODES = 20_000, 500_000
 #: Keys that one node's links are dealt to.
@@ -336,7 +336,7 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     In each cluster the component with most members is the main one; the members of others meet every
     member outside their own component whose set is of like size (bands of set sizes, each 1 / 0.8 times
     the one before: a linked pair lies in one band or in two that touch). A band is searched in blocks of
-    about BLOCK_BYTES a side, and only links leave a block (one for each two components that it joins).
+    about BLOCK_BYTES and BLOCK_SETS a side, and only links leave a block (one for each two components that it joins).
     Clusters of one component drop out, and so do classes that are too different from all others.
     """
     rows = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -346,7 +346,7 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     best = F.max(F.struct("count", "component"))
     main = per.groupBy("cluster").agg(best.getField("component").alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("cluster", "main")
     open_ = written(rows.join(main, "cluster").select("id", "cluster", "component", "band", "n_shingles", (F.col("component") != F.col("main")).alias("is_rest")), "neardup-open")
-    size, key = F.ceil(F.sum(8 * F.col("n_shingles")) / BLOCK_BYTES).cast("int"), ["cluster", "band"]
+    size, key = F.greatest(F.ceil(F.sum(8 * F.col("n_shingles")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int"), ["cluster", "band"]
     others = open_.filter("is_rest").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     blocks = open_.groupBy(*key).agg(size.alias("bn")).join(others.groupBy(*key).agg(size.alias("rn")), key)
     salt, held = F.xxhash64("id", F.lit(3)), sets.select("id", "shingles")
