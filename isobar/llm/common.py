@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of text that a chunk holds before it is handed on (a single longer text makes a chunk of its own).
 CHUNK_CHARS = 2_000_000
+#: Resident bytes from which a worker hands memory back after a task.
+IDLE_BYTES = 220 << 20
 #: Bytes of an Arrow batch on its way to a worker, set where the session has Spark's own default (a memory bound only).
 BATCH_BYTES, DEFAULT_BATCH_BYTES = 8 << 20, 64 << 20
 #: Distinct words, and bytes of their rows, that a worker remembers between chunks; beyond it the memory starts anew (a speed bound, not a result bound).
@@ -62,7 +64,14 @@ def give_back() -> None:
     """Hand a finished task's memory back: workers live on, and what they hold counts against the next stage."""
     import ctypes
     import gc
+    import os
 
+    try:
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < IDLE_BYTES:
+                return  # little to hand back
+    except OSError:  # another system
+        pass
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -47,6 +47,8 @@ PERCENT = 80
 BLOCK_BYTES, BLOCK_SETS = 4 << 20, 512
 #: Rows of a sorted partition, and nodes of a graph's partition, that a worker holds at once.
 WALK_ROWS, STAR_NODES = 20_000, 500_000
+#: Links that one task joins at once, and rows of a table that travels to the rows it describes; more go other ways.
+ONE_TASK, NEAR_ROWS = 200_000, 200_000
 #: Keys that one node's links are dealt to.
 SALTS = 1024
 #: From here on a node stands for a text without doc_id.
@@ -282,7 +284,7 @@ def _local_stars(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each linked id reaches. Links are rows (a, b).
 
-    Edges run from the larger id u to the smaller v. Partitions shrink their own edges to stars;
+    Up to ONE_TASK edges, counted first, are joined in one task. More go in rounds: edges run from the larger id u to the smaller v. Partitions shrink their own edges to stars;
     large-star and small-star steps join those, until every id hangs on one root that hangs on nothing.
     Each step is written. A root with many edges has them dealt to SALTS keys, each of which meets one row
     with the root's own least neighbour; an id has no more edges than there are partitions, as each makes
@@ -290,6 +292,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark, before = links.sparkSession, folders()
     edges = written(_local_stars(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "links")
+    if edges.count() <= ONE_TASK:
+        whole = written(_local_stars(edges.coalesce(1)), "links")
+        return whole.select(F.col("u").alias("id"), F.col("v").alias("component"))
     while True:
         ids = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("m")).first()
         roots = edges.select(F.col("v").alias("u")).distinct()
@@ -330,6 +335,12 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192)
     return out
 
 
+def _near(df: DataFrame) -> DataFrame:
+    """Written, and broadcast behind a count."""
+    df = written(df, "neardup-near")
+    return F.broadcast(df) if df.count() <= NEAR_ROWS else df
+
+
 def across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between different components of one cluster.
 
@@ -345,10 +356,10 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     per = rows.groupBy("cluster", "component").count()
     best = F.max(F.struct("count", "component"))
     main = per.groupBy("cluster").agg(best.getField("component").alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("cluster", "main")
-    open_ = written(rows.join(main, "cluster").select("id", "cluster", "component", "band", "n_shingles", (F.col("component") != F.col("main")).alias("is_rest")), "neardup-open")
+    open_ = written(rows.join(_near(main), "cluster").select("id", "cluster", "component", "band", "n_shingles", (F.col("component") != F.col("main")).alias("is_rest")), "neardup-open")
     size, key = F.greatest(F.ceil(F.sum(8 * F.col("n_shingles")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int"), ["cluster", "band"]
     others = open_.filter("is_rest").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    blocks = open_.groupBy(*key).agg(size.alias("bn")).join(others.groupBy(*key).agg(size.alias("rn")), key)
+    blocks = _near(open_.groupBy(*key).agg(size.alias("bn")).join(others.groupBy(*key).agg(size.alias("rn")), key))
     salt, held = F.xxhash64("id", F.lit(3)), sets.select("id", "shingles")
     every = open_.join(blocks, key).join(held, "id").select(*key, F.pmod(salt, "bn").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("rn") - 1)).alias("rest_block"), "id", "component", "shingles")
     rest = others.join(blocks, key).join(held, "id").select(*key, F.explode(F.sequence(F.lit(0), F.col("bn") - 1)).alias("block"), F.pmod(salt, "rn").cast("int").alias("rest_block"), "id", "component", "shingles")

@@ -88,7 +88,9 @@ def test_rows_without_doc_id_are_linked_by_their_texts(spark):
     assert got == Counter({(4, 39, 4, True): 1, (None, 39, 4, False): 2, (None, 3, None, False): 2, (None, 0, None, False): 1, (1, 0, 1, True): 1})
 
 
-def test_components_of_hubs(spark):
+@pytest.mark.parametrize("at_once", [0, 200_000])
+def test_components_of_hubs(spark, monkeypatch, at_once):
+    monkeypatch.setattr(neardup, "ONE_TASK", at_once)
     links = [(0, i) for i in range(1, 3000)] + [(10_000, i) for i in range(2990, 3010)] + [(20_000, 20_000 + i) for i in range(1, 50)]
     got = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
     assert len(got) == 2999 + 10 + 1 + 49 and {c for i, c in got.items() if i < 20_000} == {0} and got[20_049] == 20_000
@@ -137,7 +139,9 @@ def test_no_link_is_lost_on_the_table(spark):
     assert all(got[i] == top(i) for i in sets)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("at_once", [0, 200_000])
+def test_components_of_a_long_chain(spark, monkeypatch, at_once):
+    monkeypatch.setattr(neardup, "ONE_TASK", at_once)
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["id"]: r["component"] for r in neardup.components(links).collect()}
     assert all(got[i] == 0 for i in range(1, 61)) and got[101] == 100
