@@ -37,6 +37,20 @@ def require_same(a: DataFrame, b: DataFrame, column: str) -> None:
         raise ValueError(f"{column} differs between the grids")
 
 
+def require_same_coordinates(a: DataFrame, b: DataFrame, tolerance: float = 1e-3) -> None:
+    """Raise unless both grids have the same locations, at coordinates that differ by less than the tolerance.
+
+    Without lat and lon on both sides only the locations are compared.
+    """
+    require_same(a, b, "loc_id")
+    if not all(c in x.columns for x in (a, b) for c in ("lat", "lon")):
+        return
+    places = b.select("loc_id", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b")).distinct()
+    off = (F.abs(F.col("lat") - F.col("lat_b")) >= tolerance) | (F.abs(F.col("lon") - F.col("lon_b")) >= tolerance)
+    if not a.select("loc_id", "lat", "lon").distinct().join(places, "loc_id").filter(off).isEmpty():
+        raise ValueError("the coordinates of both grids differ")
+
+
 def season(rows: DataFrame, months: Sequence[int], time: str = "t") -> DataFrame:
     """Rows of these calendar months."""
     if not set(months) <= set(range(1, 13)):
@@ -70,6 +84,26 @@ def leave_one_out(rows: DataFrame, year: Column) -> DataFrame:
     return rows.select(year.alias("year")).distinct().withColumn("fold", F.dense_rank().over(Window.orderBy("year")))
 
 
+def shuffled(rows: DataFrame, seed: int, time: str = "t") -> DataFrame:
+    """(t, key): the distinct dates with a keyed hash that orders them at random, the same way everywhere."""
+    return rows.select(time).distinct().withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(time).cast("string"))))
+
+
+def random_folds(rows: DataFrame, folds: int, seed: int = 1, time: str = "t") -> DataFrame:
+    """(t, fold): dates dealt at random into folds whose sizes differ by one at most."""
+    return shuffled(rows, seed, time).select(time, F.ntile(folds).over(Window.orderBy("key", time)).alias("fold"))  # a row per date
+
+
+def fraction_split(rows: DataFrame, share: float, chronological: bool = True, seed: int = 1, time: str = "t") -> DataFrame:
+    """(t, train): the first share of the dates (or a random one) trains, the rest tests."""
+    if not 0 < share < 1:
+        raise ValueError("the share lies between 0 and 1")
+    w = Window.orderBy(time) if chronological else Window.orderBy("key", time)
+    dates = shuffled(rows, seed, time)
+    n = dates.agg(F.count("*").alias("n"))  # one row
+    return dates.withColumn("r", F.row_number().over(w)).crossJoin(F.broadcast(n)).select(time, (F.col("r") <= F.round(F.col("n") * share)).alias("train"))
+
+
 def expand_folds(train: DataFrame, folds: DataFrame, year: Column) -> DataFrame:
     """Training rows once for every fold that does not hold their year; all folds run in one job."""
     ids = folds.select("fold").distinct()

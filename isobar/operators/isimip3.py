@@ -349,8 +349,8 @@ def rotation_with_axis(v, transpose: bool = False) -> np.ndarray:
     return q if transpose else q.T
 
 
-def adjust_copula(o, h, f, rotations, n: int = 50):
-    """Multivariate ranks: rotate, map each axis with its trend, rotate back, and reorder f's margins."""
+def adjust_copula(o, h, f, rotations, n: int = 50, margins=None):
+    """Multivariate ranks: rotate, map each axis with its trend, rotate back, and reorder the margins (f's own by default)."""
     from statistics import NormalDist
 
     inv = np.vectorize(NormalDist().inv_cdf)
@@ -369,4 +369,41 @@ def adjust_copula(o, h, f, rotations, n: int = 50):
             rh[:, j], rf[:, j] = map_constant(rh[:, j], qh, qo), new_f
         zh, zf = rh @ m.T, rf @ m.T
     ranks = np.argsort(np.argsort(zf, axis=0, kind="stable"), axis=0, kind="stable")
-    return np.take_along_axis(np.sort(f, axis=0), ranks, axis=0)
+    return np.take_along_axis(np.sort(f if margins is None else margins, axis=0), ranks, axis=0)
+
+
+def correct_copula(train: DataFrame, sim: DataFrame, keys: list[str], rotations: int = 20, n_quantiles: int = 50, seed: int = 1) -> DataFrame:
+    """Correct the dependence between variables, per calendar month and location.
+
+    ``train`` has keys, t, var, o and p, ``sim`` keys, t, var, s and ``corrected``, the margins of another
+    correction. Only the order of each margin changes: every month keeps each variable's values. Days on
+    which a variable is missing take no part and keep their values, as do months with fewer than two days
+    on a side and locations without training rows. All locations and months share the rotations, drawn by the seed.
+    """
+
+    def paired(x: pd.DataFrame, names: list, columns: tuple[str, str]) -> list[pd.DataFrame]:
+        both = x.pivot_table(index="t", columns="var", values=list(columns), aggfunc="first").replace([np.inf, -np.inf], np.nan)
+        wanted = [(c, v) for c in columns for v in names]
+        both = both.reindex(columns=pd.MultiIndex.from_tuples(wanted)).dropna().sort_index()
+        return [both[c] for c in columns]
+
+    def group(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(b["var"].dropna().unique())
+        if not len(a) or len(names) < 2:
+            return b
+        b = b.reset_index(drop=True)
+        (o, h), (f, margin) = paired(a, names, ("o", "p")), paired(b, names, ("s", "corrected"))
+        month = lambda x: pd.to_datetime(pd.Series(x.index)).dt.month.to_numpy()
+        axes = [rotation(len(names), rng) for rng in [np.random.default_rng(seed)] for _ in range(rotations)]
+        new = {}
+        for m in range(1, 13):
+            x, y = month(o) == m, month(f) == m
+            if x.sum() < 2 or y.sum() < 2:
+                continue
+            out = adjust_copula(o[x].to_numpy(), h[x].to_numpy(), f[y].to_numpy(), axes, n_quantiles, margin[y].to_numpy())
+            new |= {(t, v): float(out[r, c]) for r, t in enumerate(f.index[y]) for c, v in enumerate(names)}
+        b["corrected"] = [new.get((t, v), c) for t, v, c in zip(b["t"], b["var"], b["corrected"], strict=True)]
+        return b
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sim.schema)
+    return fresh(train).groupBy(*keys).cogroup(fresh(sim).groupBy(*keys)).applyInPandas(group, schema)
