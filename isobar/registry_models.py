@@ -228,3 +228,68 @@ def _downscale(spark, sf_dir):
     g = fixtures.predictors(spark, sf_dir).select("t", F.array("x1", "x2", "x3").alias("x"))
     y = fixtures.precipitation(spark, sf_dir).select(F.col("loc_id"), "t", F.col("obs").alias("y"))
     return _out(downscale.two_stage(y, g, g), "loc_id", "t", value="prediction")
+
+
+@_query("cv_random_folds", """, d AS (SELECT DISTINCT t FROM g), fo AS (SELECT t, ntile(4) OVER (ORDER BY md5('1|' || CAST(t AS VARCHAR)), t) AS fold FROM d),
+l AS (SELECT k.fold, regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM g JOIN fo USING (t) JOIN (SELECT DISTINCT fold FROM fo) k ON k.fold <> fo.fold GROUP BY 1)
+SELECT t, round(a + b * x1, 4) + 0.0 AS prediction FROM g JOIN fo USING (t) JOIN l USING (fold)""")
+def _cv_random(spark, sf_dir):
+    g = fixtures.predictors(spark, sf_dir)
+    out = downscale.downscale(g.select(F.lit(0).alias("loc_id"), "t", "y"), g.select("t", F.array("x1").alias("x")), cross_val="random", folds=4)
+    return _out(out, "t", value="prediction")
+
+
+def _pair(a: str, b: str) -> str:
+    return f"(({a} - avg({a}) OVER ()) / stddev_samp({a}) OVER () + ({b} - avg({b}) OVER ()) / stddev_samp({b}) OVER ()) / sqrt(2.0::DOUBLE)"
+
+
+@_query("components_by_variable", f""", h AS (SELECT CAST(l_shipdate AS DATE) AS t, avg(l_quantity) AS a1, avg(l_quantity * (1 - l_tax)) AS a2, avg(l_extendedprice) AS b1, avg(l_extendedprice * (1 - l_discount)) AS b2 FROM lineitem GROUP BY 1)
+SELECT t, round({_pair("b1", "b2")}, 4) + 0.0 AS price, round({_pair("a1", "a2")}, 4) + 0.0 AS quantity FROM h""")
+def _by_variable(spark, sf_dir):
+    """The first component of each of two variables, at two places that vary together."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    days = li.groupBy(F.to_date("l_shipdate").alias("t")).agg(F.avg(q).alias("a1"), F.avg(q * (1 - F.col("l_tax"))).alias("a2"), F.avg(p).alias("b1"), F.avg(p * (1 - F.col("l_discount"))).alias("b2"))
+    cells = [F.struct(F.lit(v).alias("var"), F.lit(k).alias("loc_id"), F.col(c).alias("value")) for v, k, c in (("quantity", 1, "a1"), ("quantity", 2, "a2"), ("price", 1, "b1"), ("price", 2, "b2"))]
+    rows = days.select("t", F.inline(F.array(*cells)))
+    out = predictors.PredictorSet.fit(rows, n=1).transform(rows)
+    return out.select("t", rounded(F.col("x")[0]).alias("price"), rounded(F.col("x")[1]).alias("quantity"))
+
+
+@_query("cv_occurrence")
+def _occurrence(spark, sf_dir):
+    g = fixtures.predictors(spark, sf_dir)
+    y = g.select(F.lit(0).alias("loc_id"), "t", (F.col("y") > 38000).cast("double").alias("y"))
+    out = downscale.downscale(y, g.select("t", F.array("x1", "x2", "x3").alias("x")), method="glm", cross_val="kfold", folds=4)
+    return out.select("loc_id", "t", rounded("prob").alias("prob"), "bin")
+
+
+@_query("downscale_mixed", """, g2 AS (SELECT t, x1 FROM g), own AS (SELECT loc_id, t, o / 1000 AS y, p / 1000 AS v FROM tr), k AS (SELECT loc_id, t, y, v, x1 FROM own JOIN g2 USING (t)),
+m AS (SELECT loc_id, avg(y) AS my, avg(v) AS mv, avg(x1) AS mx, covar_pop(y, v) AS cyv, covar_pop(y, x1) AS cyx, covar_pop(v, x1) AS cvx, var_pop(v) AS vv, var_pop(x1) AS vx FROM k GROUP BY 1),
+c AS (SELECT loc_id, my, mv, mx, (cyv * vx - cyx * cvx) / (vv * vx - cvx * cvx) AS b, (cyx * vv - cyv * cvx) / (vv * vx - cvx * cvx) AS a FROM m)
+SELECT loc_id, t, round(my + a * (x1 - mx) + b * (s / 1000 - mv), 4) + 0.0 AS prediction FROM si JOIN g2 USING (t) JOIN c USING (loc_id)""")
+def _mixed(spark, sf_dir):
+    """A day's global predictor with the site's own; prices in thousands, so predictors are of like size."""
+    series = fixtures.temperature(spark, sf_dir).select("loc_id", "t", (F.col("obs") / 1000).alias("obs"), (F.col("pred") / 1000).alias("pred"))
+    train, sim = fixtures.split(series)
+    x = fixtures.predictors(spark, sf_dir).select("t", F.array("x1").alias("x"))
+    own = lambda d, c: predictors.mixed(x, d.select("loc_id", "t", F.array(c).alias("x")))
+    out = downscale.train_predict(train.select("loc_id", "t", F.col("o").alias("y")), own(train, "p"), own(sim, "s"), "lm")
+    return _out(out, "loc_id", "t", value="prediction")
+
+
+@_query("isimip3_copula")
+def _copula(spark, sf_dir):
+    """Prices and quantities: margins by scaling, their dependence by rotations."""
+    warm, wet = (fixtures.split(f(spark, sf_dir)) for f in (fixtures.temperature, fixtures.precipitation))
+    train, sim = (a.withColumn("var", F.lit("tas")).unionByName(b.withColumn("var", F.lit("pr"))) for a, b in zip(warm, wet, strict=True))
+    done = native.scaling(train, sim, ["loc_id", "var"]).select("loc_id", "t", "var", "s", "corrected")
+    return _out(isimip3.correct_copula(train, done, ["loc_id"]), "loc_id", "t", "var")
+
+
+@_query("mean_bounded", """SELECT loc_id, round(avg(CASE WHEN p <= 1 THEN 0 WHEN p >= 90 THEN 100 ELSE p END::DOUBLE), 4) + 0.0 AS m FROM trp GROUP BY 1""")
+def _bounded(spark, sf_dir):
+    train, _ = fixtures.split(fixtures.precipitation(spark, sf_dir))
+    rows = train.select("loc_id", F.col("p").alias("value"))
+    out = grid.bounded_mean(rows, ["loc_id"], lower=(0.0, 1.0), upper=(100.0, 90.0))
+    return out.select("loc_id", rounded(out.columns[-1]).alias("m"))
