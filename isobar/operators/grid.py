@@ -133,20 +133,60 @@ def expand_windows(train: DataFrame, width: int, step: int, time: str = "t") ->
     return train.withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).filter(F.least(gap, 365 - gap) <= width / 2)
 
 
-def nearest(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Each point's nearest cell in degrees (loc_id, cell_id); ties go to the lower cell.
+def _closest(points: DataFrame, cells: DataFrame, n: int) -> DataFrame:
+    """(loc_id, cell_id, d): each point's n nearest cells in degrees, d squared; ties go to the lower cell.
 
-    ``cells`` is a coordinate table (a row per grid cell, no time axis) and is broadcast as such.
+    Cells are dealt to square bins. A point looks into the nine bins around its own and is settled if its
+    n-th cell is nearer than a bin is wide; the others look again in bins four times as wide, at last in
+    bins as wide as the whole field. Neither table is broadcast, and no point meets all cells unless the
+    cells are few or lie far away. Points and cells without coordinates take no part.
     """
-    c = cells.select(F.col("loc_id").alias("cell_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    d = (F.col("lat") - F.col("clat")) ** 2 + (F.col("lon") - F.col("clon")) ** 2
-    return points.crossJoin(F.broadcast(c)).groupBy("loc_id").agg(F.min(F.struct(d.alias("d"), "cell_id")).alias("m")).select("loc_id", F.col("m.cell_id").alias("cell_id"))
+    p = points.select("loc_id", "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct()
+    c = cells.select(F.col("loc_id").alias("cell_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon")).filter("clat IS NOT NULL AND clon IS NOT NULL")
+    ends = lambda a, b: [f(x) for x in (a, b) for f in (F.min, F.max)]
+    count, *own = c.agg(F.count("*"), *ends("clat", "clon")).first()
+    other = p.agg(*ends("lat", "lon")).first()
+    if not count or other[0] is None:
+        return p.crossJoin(c.limit(0)).select("loc_id", "cell_id", F.lit(0.0).alias("d"))
+    low, left = min(own[0], other[0]), min(own[2], other[2])
+    span = max(own[1], other[1]) - low, max(own[3], other[3]) - left
+    sides = own[1] - own[0], own[3] - own[2]
+    share = n / count
+    width = max(2 * max((sides[0] * sides[1] * share) ** 0.5, max(sides) * share), max(span) / 4**10) or 1.0
+    done = None
+    while True:
+        last = width >= max(span)
+        at = lambda lat, lon, w=width: [F.floor((F.col(x) - o) / w).cast("long") for x, o in ((lat, low), (lon, left))]
+        i, j = at("lat", "lon")
+        step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+        looks = p.select("loc_id", "lat", "lon", F.explode(F.transform(step, lambda k: i + k)).alias("i"), j.alias("j0"))  # noqa: B023
+        looks = looks.select("loc_id", "lat", "lon", "i", F.explode(F.transform(step, lambda k: F.col("j0") + k)).alias("j"))
+        ci, cj = at("clat", "clon")
+        pairs = looks.join(c.select("cell_id", "clat", "clon", ci.alias("i"), cj.alias("j")), ["i", "j"], "left")
+        d = (F.col("lat") - F.col("clat")) ** 2 + (F.col("lon") - F.col("clon")) ** 2
+        w = Window.partitionBy("loc_id", "lat", "lon")
+        best = pairs.withColumn("d", d).withColumn("r", F.row_number().over(w.orderBy(F.col("d").asc_nulls_last(), "cell_id"))).filter(F.col("r") <= n)
+        if not last:
+            best = best.withColumn("settled", F.max("r").over(w) + F.sum(F.when(F.col("d") < width * width * (1 - 1e-9), 1).otherwise(0)).over(w) == 2 * n)
+        found = (best if last else best.filter("settled")).filter("cell_id IS NOT NULL").select("loc_id", "cell_id", "d")
+        done = found if done is None else done.unionAll(found)
+        if last:
+            return done
+        p = best.filter("NOT settled AND r = 1").select("loc_id", "lat", "lon")
+        if p.isEmpty():
+            return done
+        width *= 4
+
+
+def nearest(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """Each point's nearest cell in degrees (loc_id, cell_id); ties go to the lower cell."""
+    return _closest(points, cells, 1).groupBy("loc_id").agg(F.min(F.struct("d", "cell_id")).alias("m")).select("loc_id", F.col("m.cell_id").alias("cell_id"))
 
 
 def interpolate_to(grid: DataFrame, points: DataFrame, cells: DataFrame) -> DataFrame:
     """The grid's values at the points by nearest cell; grid rows carry loc_id of cells."""
     near = nearest(points, cells)
-    return grid.withColumnRenamed("loc_id", "cell_id").join(F.broadcast(near), "cell_id").drop("cell_id")
+    return grid.withColumnRenamed("loc_id", "cell_id").join(near, "cell_id").drop("cell_id")
 
 
 def bilinear(grid: DataFrame, points: DataFrame, cells: DataFrame, keys: Sequence[str] = ("t",)) -> DataFrame:
@@ -161,7 +201,7 @@ def bilinear(grid: DataFrame, points: DataFrame, cells: DataFrame, keys: Sequenc
     fy, fx = (F.coalesce(F.try_divide(F.col(n) - F.col(f"{n}0"), F.col(f"{n}1") - F.col(f"{n}0")), F.lit(0.0)) for n in ("lat", "lon"))
     corners = F.array(*[F.struct(F.col(f"lat{i}").alias("clat"), F.col(f"lon{j}").alias("clon"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("w")) for i in (0, 1) for j in (0, 1)])
     weights = box.select("loc_id", F.explode(corners).alias("k")).select("loc_id", "k.*").filter("w > 0")
-    named = weights.join(F.broadcast(cells.select(F.col("loc_id").alias("cell_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))), ["clat", "clon"], "left")
+    named = weights.join(cells.select(F.col("loc_id").alias("cell_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon")), ["clat", "clon"], "left")
     total = grid.withColumnRenamed("loc_id", "cell_id").join(named, "cell_id").groupBy("loc_id", *keys).agg(F.sum(F.col("w") * F.col("value")).alias("v"), F.sum(F.when(F.col("value").isNotNull(), F.col("w"))).alias("w"))
     close = interpolate_to(grid, points.select("loc_id", "lat", "lon"), cells).select("loc_id", *keys, "value")
     return close.join(total, ["loc_id", *keys], "left").select("loc_id", *keys, F.when(F.col("w") > 1 - 1e-9, F.col("v")).otherwise(F.col("value")).alias("value"))
@@ -169,16 +209,13 @@ def bilinear(grid: DataFrame, points: DataFrame, cells: DataFrame, keys: Sequenc
 
 def neighbours(points: DataFrame, cells: DataFrame, n: int) -> DataFrame:
     """Each point's n nearest cells, numbered in cell order (loc_id, k, cell_id)."""
-    c = cells.select(F.col("loc_id").alias("cell_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    d = F.sqrt((F.col("lat") - F.col("clat")) ** 2 + (F.col("lon") - F.col("clon")) ** 2)
-    pairs = points.select("loc_id", "lat", "lon").crossJoin(F.broadcast(c)).withColumn("d", d)
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("loc_id").orderBy("d", "cell_id"))).filter(F.col("r") <= n)
+    best = _closest(points, cells, n)
     return best.withColumn("k", F.row_number().over(Window.partitionBy("loc_id").orderBy("cell_id"))).select("loc_id", "k", "cell_id")
 
 
 def local_predictors(grid: DataFrame, near: DataFrame, fun: str | None = None) -> DataFrame:
     """Values of the neighbouring cells per date: one row per neighbour, or aggregated by ``fun``."""
-    rows = grid.withColumnRenamed("loc_id", "cell_id").join(F.broadcast(near), "cell_id")
+    rows = grid.withColumnRenamed("loc_id", "cell_id").join(near, "cell_id")
     if fun is None:
         return rows.select("loc_id", "t", "var", "k", "value")
     return rows.groupBy("loc_id", "t", "var").agg(getattr(F, fun)("value").alias("value"))

@@ -145,3 +145,19 @@ def test_copula_changes_dependence_and_keeps_margins(spark):
     assert np.corrcoef(one[ok].T)[0, 1] > 0.6 and abs(np.corrcoef(margin[ok].T)[0, 1]) < 0.2
     two = out[out["loc_id"] == 2].pivot(index="t", columns="var", values="corrected").loc[days].to_numpy()
     assert two == pytest.approx(margin, nan_ok=True)
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_closest_cells_equal_brute_force(spark, n):
+    rng = np.random.default_rng(8)
+    cells = np.vstack((rng.integers(0, 12, (80, 2)), rng.normal(60, 0.01, (40, 2)))).astype(float)
+    points = np.vstack((rng.integers(-3, 16, (60, 2)), rng.normal(60, 0.02, (10, 2)), [[-500.0, 900.0]])).astype(float)
+    table = lambda x: spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(999, None, 1.0)], "loc_id int, lat double, lon double")
+    d = ((points[:, None] - cells[None]) ** 2).sum(axis=2)
+    want = {(i, int(c)) for i, row in enumerate(d) for c in np.lexsort((np.arange(len(cells)), row))[:n]}
+    assert {(r["loc_id"], r["cell_id"]) for r in grid.neighbours(table(points), table(cells), n).collect()} == want
+    if n == 1:
+        assert {tuple(r) for r in grid.nearest(table(points), table(cells)).select("loc_id", "cell_id").collect()} == want
+    few = grid.neighbours(table(points[:4]), table(cells[:2]), 3).collect()
+    assert len(few) == 8
+    assert grid.nearest(table(points), table(cells).limit(0)).isEmpty() and grid.nearest(table(points).limit(0), table(cells)).isEmpty()
