@@ -302,8 +302,15 @@ def simple_line(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.regr_slope("y", "x1").alias("slope"), F.regr_intercept("y", "x1").alias("intercept"))
 
 
-def neural(rows: DataFrame, keys: list[str], hidden: int = 10, epochs: int = 500, rate: float = 0.001, momentum: float = 0.5, batch: int = 100, output: str = "linear", seed: int = 1) -> DataFrame:
-    """A one-hidden-layer network per key; y may be an array (all sites in one fit). Weights as flat array."""
+def neural(rows: DataFrame, keys: list[str], hidden: int = 10, epochs: int = 500, rate: float = 0.001, momentum: float = 0.5, batch: int = 100, output: str = "linear", seed: int = 1, visible_dropout: float = 0.0, hidden_dropout: float = 0.0) -> DataFrame:
+    """A one-hidden-layer network per key; y may be an array (all sites in one fit). Weights as flat array.
+
+    Dropouts are the shares of predictors and hidden units left out of each training row; the rest count
+    for more in turn, so that predictions need no scaling.
+    """
+    if not (0 <= visible_dropout < 1 and 0 <= hidden_dropout < 1):
+        raise ValueError("dropouts lie in [0, 1)")
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(pdf["x"].tolist(), float)
         y = np.array([v if isinstance(v, (list, np.ndarray)) else [v] for v in pdf["y"]], float)
@@ -312,17 +319,19 @@ def neural(rows: DataFrame, keys: list[str], hidden: int = 10, epochs: int = 500
         rng = np.random.default_rng(seed)
         w = [rng.normal(0, 0.5, (x.shape[1] + 1, hidden)), rng.normal(0, 0.5, (hidden + 1, y.shape[1]))]
         v = [np.zeros_like(a) for a in w]
+        keep = lambda z, share: z * (rng.random(z.shape) >= share) / (1 - share) if share else z
         for _ in range(epochs if len(x) else 0):
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
-                a = np.column_stack((x[order[i : i + batch]], np.ones(len(order[i : i + batch]))))
+                a = np.column_stack((keep(x[order[i : i + batch]], visible_dropout), np.ones(len(order[i : i + batch]))))
                 h = 1 / (1 + np.exp(-np.clip(a @ w[0], -30, 30)))
-                b = np.column_stack((h, np.ones(len(h))))
+                on = keep(np.ones_like(h), hidden_dropout)
+                b = np.column_stack((h * on, np.ones(len(h))))
                 o = b @ w[1]
                 o = 1 / (1 + np.exp(-np.clip(o, -30, 30))) if output == "sigm" else o
                 g = o - y[order[i : i + batch]]
                 g = g * o * (1 - o) if output == "sigm" else g
-                back = (g @ w[1][:-1].T) * h * (1 - h)
+                back = (g @ w[1][:-1].T) * on * h * (1 - h)
                 for k, grad in enumerate((a.T @ back / len(a), b.T @ g / len(b))):
                     v[k] = momentum * v[k] - rate * grad
                     w[k] = w[k] + v[k]

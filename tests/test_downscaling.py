@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isobar.operators import grid, isimip3, predictors
+from isobar.operators import glm, grid, isimip3, predictors
 from isobar.plans import downscale
 
 DAYS = [dt.date(2000, 1, 1) + dt.timedelta(5 * i) for i in range(292)]
@@ -161,3 +161,17 @@ def test_closest_cells_equal_brute_force(spark, n):
     few = grid.neighbours(table(points[:4]), table(cells[:2]), 3).collect()
     assert len(few) == 8
     assert grid.nearest(table(points), table(cells).limit(0)).isEmpty() and grid.nearest(table(points).limit(0), table(cells)).isEmpty()
+
+
+def test_network_with_dropouts_learns_and_its_weights_differ(spark):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(-1, 1, (400, 4))
+    y = x.sum(axis=1)
+    rows = spark.createDataFrame([(0, a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "site int, x array<double>, y double")
+    fit = lambda **o: glm.neural(rows, ["site"], epochs=150, rate=0.05, **o)
+    plain, dropped = fit(), fit(visible_dropout=0.1, hidden_dropout=0.2)
+    out = glm.neural_predict(rows, dropped, ["site"]).select("y", F.col("prediction")[0].alias("p")).toPandas()
+    assert out.corr().loc["y", "p"] > 0.95
+    assert plain.first()["weights"] != dropped.first()["weights"] and dropped.first()["weights"] == dropped.first()["weights"]
+    with pytest.raises(ValueError):
+        fit(hidden_dropout=1.0)
