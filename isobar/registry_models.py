@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from isobar.operators import analogs, glm, grid, isimip1, isimip3, kernels, native, predictors
 from isobar.plans import downscale, fixtures
 from isobar.plans.fixtures import KEYS
-from isobar.registry import _interp, _list, _out, _query, _ties, rounded
+from isobar.registry import _T20, _interp, _list, _out, _query, _ties, rounded
 
 _MONTH = """, eo AS (SELECT loc_id, t, month(t) AS mon, o, avg(o) OVER (PARTITION BY loc_id, year(t), month(t)) AS mm FROM tr),
 ep AS (SELECT loc_id, t, month(t) AS mon, p, avg(p) OVER (PARTITION BY loc_id, year(t), month(t)) AS mm FROM tr),
@@ -138,8 +138,8 @@ def _cv(spark, sf_dir):
     return _out(out.withColumn("prediction", F.col("intercept") + F.col("slope") * F.col("x1")), "t", value="prediction")
 
 
-def _kernel(name, method, rain, drier=False, **options):
-    @_query(name)
+def _kernel(name, method, rain, drier=False, sql=None, **options):
+    @_query(name, sql)
     def run(spark, sf_dir):
         series = fixtures.precipitation(spark, sf_dir) if rain else fixtures.temperature(spark, sf_dir)
         if drier:  # the model has more dry days than were observed, so small rain is drawn
@@ -148,25 +148,69 @@ def _kernel(name, method, rain, drier=False, **options):
         return _out(kernels.correct(train, sim, KEYS, method, precipitation=rain, **options), "loc_id", "t")
 
 
-_kernel("bc_eqm_precip", "eqm", True, n_quantiles=20)
+#: Where the model is the wetter side no small rain is drawn, so the map is one of order statistics.
+_EQM_RAIN = f""", n AS (SELECT loc_id, count(*) FILTER (o < 1) AS dry_o, count(o) AS n_o, count(p) AS n_p, list_sort(list(p)) AS vp FROM trp GROUP BY 1),
+d AS (SELECT loc_id, vp, CAST(ceil(n_p * dry_o / n_o) AS BIGINT) AS k FROM n), w AS (SELECT loc_id, greatest(CASE WHEN k > 0 THEN vp[k] END, vp[k + 1]) AS wet FROM d),
+q AS (SELECT loc_id, any_value(wet) AS wet, quantile_cont(o::DOUBLE, {_list(_T20)}) FILTER (o > 1) AS qo, quantile_cont(p::DOUBLE, {_list(_T20)}) FILTER (p > wet) AS qp, min(p) FILTER (p > wet) AS least_wet FROM trp JOIN w USING (loc_id) GROUP BY 1),
+a AS (SELECT loc_id, wet, least_wet, qp, {_ties('qp', 'qo')} AS qo FROM q),
+b AS (SELECT loc_id, t, s, wet, least_wet, qp IS NULL OR qo IS NULL AS bare, {_interp('s', 'qp', 'qo')} AS y,
+  count(*) FILTER (s > wet) OVER (PARTITION BY loc_id ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(*) FILTER (s > wet) OVER (PARTITION BY loc_id) AS share FROM sip JOIN a USING (loc_id)),
+v AS (SELECT loc_id, list_sort(list(y) FILTER (s > least_wet)) AS ys FROM b GROUP BY 1),
+h AS (SELECT b.*, ys, greatest(0.0::DOUBLE, least(len(ys) * share - 1, len(ys) - 1)) AS h FROM b JOIN v USING (loc_id))
+SELECT loc_id, t, round(CASE WHEN bare THEN s WHEN s > least_wet THEN y WHEN s > wet THEN coalesce(ys[1 + CAST(floor(h) AS BIGINT)] + (h - floor(h)) * (ys[1 + CAST(ceil(h) AS BIGINT)] - ys[1 + CAST(floor(h) AS BIGINT)]), 0) ELSE 0 END, 4) + 0.0 AS corrected FROM h"""
+#: The variation of p ** b grows with b, so the exponent is unique; halving finds it below 16.
+_PTR = """, v AS (SELECT loc_id, list(p::DOUBLE) AS ps, avg(o) AS mo, stddev_samp(o) / avg(o) AS goal FROM trp GROUP BY 1),
+e AS (WITH RECURSIVE b AS (SELECT loc_id, 0 AS k, 0.0::DOUBLE AS lo, 16.0::DOUBLE AS hi FROM v
+  UNION ALL SELECT loc_id, k + 1, CASE WHEN up THEN lo ELSE mid END, CASE WHEN up THEN mid ELSE hi END
+  FROM (SELECT loc_id, k, lo, hi, mid, list_stddev_samp(z) / list_avg(z) >= goal AS up FROM (SELECT b.loc_id, k, lo, hi, goal, (lo + hi) / 2 AS mid, list_transform(ps, lambda x: pow(x, (lo + hi) / 2)) AS z FROM b JOIN v USING (loc_id) WHERE k < 70)))
+  SELECT loc_id, CASE WHEN hi < 16 THEN (lo + hi) / 2 END AS b FROM b WHERE k = 70),
+x AS (SELECT loc_id, b, mo / list_avg(list_transform(ps, lambda x: pow(x, b))) AS c FROM e JOIN v USING (loc_id))
+SELECT loc_id, t, round(pow(s, b) * c, 4) + 0.0 AS corrected FROM sip JOIN x USING (loc_id)"""
+_kernel("bc_eqm_precip", "eqm", True, sql=_EQM_RAIN, n_quantiles=20)
 _kernel("bc_eqm_precip_drizzle", "eqm", True, True, n_quantiles=20)
 _kernel("bc_pqm_gamma_precip", "pqm", True, family="gamma")
 _kernel("bc_pqm_gamma", "pqm", False, family="gamma")
 _kernel("bc_pqm_weibull", "pqm", False, family="weibull")
 _kernel("bc_gpqm", "gpqm", False)
 _kernel("bc_gpqm_precip", "gpqm", True)
-_kernel("bc_ptr", "ptr", True)
+_kernel("bc_ptr", "ptr", True, sql=_PTR)
 _kernel("bc_dqm_precip", "dqm", True, n_quantiles=20)
 _kernel("bc_qdm_precip", "qdm", True, n_quantiles=20)
 
 
-@_query("isimip_precip")
+@_query("isimip_precip", """, eo AS (SELECT loc_id, year(t) AS y, month(t) AS mon, o, p, avg(o) OVER (PARTITION BY loc_id, year(t), month(t)) AS mo, avg(p) OVER (PARTITION BY loc_id, year(t), month(t)) AS mp FROM trp),
+mm AS (SELECT loc_id, mon, y, max(mo) AS vo, max(mp) AS vp FROM eo GROUP BY 1, 2, 3),
+mf AS (SELECT loc_id, mon, sum(vo) / nullif(sum(vp), 0) AS factor, list_sort(list(vp)) AS vs, count(*) FILTER (vo <= 1) + count(*) FILTER (vp <= 0) AS n FROM mm GROUP BY 1, 2),
+me AS (SELECT loc_id, mon, factor, vs[least(n, len(vs) - 1) + 1] AS eps FROM mf),
+dd AS (SELECT loc_id, mon, factor, eps, count(*) FILTER (mo > 1 AND o < 1) AS dry, list_sort(list(p) FILTER (mp > eps)) AS sp FROM eo JOIN me USING (loc_id, mon) GROUP BY ALL),
+de AS (SELECT loc_id, mon, factor, eps, CASE WHEN sp IS NULL OR dry = 0 THEN 0 WHEN dry >= len(sp) THEN sp[len(sp)] ELSE (sp[dry] + sp[dry + 1]) / 2 END AS thr FROM dd),
+wp AS (SELECT eo.*, eps, thr, sum(CASE WHEN p <= thr THEN p ELSE 0 END) OVER k AS lost, count(*) FILTER (p > thr) OVER k AS days FROM eo JOIN de USING (loc_id, mon) WINDOW k AS (PARTITION BY loc_id, y, mon)),
+p2 AS (SELECT *, CASE WHEN mp > eps AND days > 0 THEN CASE WHEN p <= thr THEN 0 ELSE p + lost / days END ELSE p END AS q FROM wp),
+z AS (SELECT loc_id, mon, list_sort(list(o / mo) FILTER (mo > 1 AND o > 1)) AS zo, list_sort(list(q / mp) FILTER (mp > eps AND q > thr)) AS zp, avg(o) FILTER (mo > 1 AND o > 1) AS ao, avg(q) FILTER (mp > eps AND q > thr) AS ap FROM p2 GROUP BY 1, 2),
+k AS (SELECT loc_id, mon, zo, zp, len(zo) AS n_o, len(zp) AS n_p, least(len(zo), len(zp)) AS k FROM z WHERE least(len(zo), len(zp)) > 80 AND ao > 0.01 AND ap > 0.01),
+i AS (SELECT *, unnest(range(k)) AS i FROM k),
+pr AS (SELECT loc_id, mon, zo[1 + CASE WHEN i = k - 1 THEN n_o - 1 ELSE CAST(floor(i * ((n_o - 1)::DOUBLE / (k - 1))) AS BIGINT) END] AS a, zp[1 + CASE WHEN i = k - 1 THEN n_p - 1 ELSE CAST(floor(i * ((n_p - 1)::DOUBLE / (k - 1))) AS BIGINT) END] AS b FROM i),
+c AS (SELECT loc_id, mon, regr_slope(b, a) AS slope, regr_intercept(b, a) AS base FROM pr GROUP BY 1, 2),
+es AS (SELECT loc_id, t, year(t) AS y, month(t) AS mon, s, avg(s) OVER (PARTITION BY loc_id, year(t), month(t)) AS ms FROM sip),
+ws AS (SELECT es.*, factor, eps, thr, sum(CASE WHEN s <= thr THEN s ELSE 0 END) OVER k AS lost, count(*) FILTER (s > thr) OVER k AS days FROM es LEFT JOIN de USING (loc_id, mon) WINDOW k AS (PARTITION BY loc_id, y, mon)),
+s2 AS (SELECT *, CASE WHEN ms > eps AND days > 0 THEN CASE WHEN s <= thr THEN 0 ELSE s + lost / days END ELSE s END AS q FROM ws)
+SELECT loc_id, t, round(CASE WHEN eps IS NULL THEN s WHEN ms > eps AND q > thr AND slope IS NOT NULL THEN abs(base + slope * (q / ms)) * ms * factor ELSE q * factor END, 4) + 0.0 AS corrected FROM s2 LEFT JOIN c USING (loc_id, mon)""")
 def _isimip_precip(spark, sf_dir):
     train, sim = fixtures.split(fixtures.precipitation(spark, sf_dir))
     return _out(isimip1.wet(train, sim, KEYS), "loc_id", "t")
 
 
-@_query("isimip_multiplicative")
+@_query("isimip_multiplicative", """, eo AS (SELECT loc_id, year(t) AS y, month(t) AS mon, o, p, avg(o) OVER (PARTITION BY loc_id, year(t), month(t)) AS mo, avg(p) OVER (PARTITION BY loc_id, year(t), month(t)) AS mp FROM tr),
+mm AS (SELECT loc_id, mon, y, max(mo) AS vo, max(mp) AS vp FROM eo GROUP BY 1, 2, 3),
+mf AS (SELECT loc_id, mon, sum(vo) / nullif(sum(vp), 0) AS factor, list_sort(list(vp)) AS vs, count(*) FILTER (vo <= 1 AND vp <= 0) AS n FROM mm GROUP BY 1, 2),
+me AS (SELECT loc_id, mon, factor, vs[least(n, len(vs) - 1) + 1] AS eps FROM mf),
+z AS (SELECT loc_id, mon, list_sort(list(o / mo) FILTER (mo > 1 AND o > 1)) AS zo, list_sort(list(p / mp) FILTER (mp > eps AND p > 0)) AS zp, avg(o) FILTER (mo > 1 AND o > 1) AS ao, avg(p) FILTER (mp > eps AND p > 0) AS ap FROM eo JOIN me USING (loc_id, mon) GROUP BY 1, 2),
+k AS (SELECT loc_id, mon, zo, zp, len(zo) AS n_o, len(zp) AS n_p, least(len(zo), len(zp)) AS k FROM z WHERE least(len(zo), len(zp)) > 80 AND ao > 0.01 AND ap > 0.01),
+i AS (SELECT *, unnest(range(k)) AS i FROM k),
+pr AS (SELECT loc_id, mon, zo[1 + CASE WHEN i = k - 1 THEN n_o - 1 ELSE CAST(floor(i * ((n_o - 1)::DOUBLE / (k - 1))) AS BIGINT) END] AS a, zp[1 + CASE WHEN i = k - 1 THEN n_p - 1 ELSE CAST(floor(i * ((n_p - 1)::DOUBLE / (k - 1))) AS BIGINT) END] AS b FROM i),
+c AS (SELECT loc_id, mon, regr_slope(b, a) AS slope, regr_intercept(b, a) AS base FROM pr GROUP BY 1, 2),
+es AS (SELECT loc_id, t, month(t) AS mon, s, avg(s) OVER (PARTITION BY loc_id, year(t), month(t)) AS ms FROM si)
+SELECT loc_id, t, round(CASE WHEN eps IS NULL THEN s WHEN ms > eps AND s > 0 AND slope IS NOT NULL THEN abs(base + slope * (s / ms)) * ms * factor ELSE s * factor END, 4) + 0.0 AS corrected FROM es LEFT JOIN me USING (loc_id, mon) LEFT JOIN c USING (loc_id, mon)""")
 def _isimip_mult(spark, sf_dir):
     train, sim = fixtures.split(fixtures.temperature(spark, sf_dir))
     return _out(isimip1.wet(train, sim, KEYS, product=True), "loc_id", "t")
